@@ -1,0 +1 @@
+"""Operators for language-model corpora; nothing outside this subpackage imports it."""
