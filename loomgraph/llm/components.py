@@ -2,8 +2,9 @@
 
 Each round strips the vertices of degree one and compresses the chains of degree two by list ranking (pointer doubling along
 the chain), which leaves a graph that is at least a fixed fraction smaller, or a core in which every vertex has three or more
-neighbours. The core is contracted to its lightest neighbours until no edge is left. Every removed vertex remembers one
-vertex of its group that outlived it; the labels are restored in the opposite order of removal.
+neighbours. The core is contracted to its first neighbours in a fixed order, round by round, until it is so small (CORE arcs,
+a constant) that one task solves it by union and find. Every removed vertex remembers one vertex of its group that outlived
+it; the labels are restored in the opposite order of removal.
 
 Vertices are (kind, name) in one string. No group is ever gathered: a hub with a third of all edges is a degree
 (a pre-aggregated count), and labels reach the vertices of hot hubs and groups by broadcast of that one row.
@@ -11,15 +12,20 @@ Vertices are (kind, name) in one string. No group is ever gathered: a hub with a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut, hot_keys, read, skew_join
+from loomgraph.runtime import HOT_FLOOR, cut, hot_keys, read, skew_join
 
 #: Doublings in one list ranking; longer chains go on in the next round.
 DOUBLINGS = 4
 #: Rounds end when one removes less than this part of the edges.
 LEAST_SHRINK = 0.1
+#: A peeled core of no more arcs than this is solved in one task (some 100 bytes an arc).
+CORE = 1_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -36,11 +42,17 @@ def _degrees(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.count("*").alias("deg"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def _replace(arcs: DataFrame, removed: DataFrame, hot_at: int | None = None) -> DataFrame:
+def _hot(df: DataFrame, key: str, rows: int) -> list:
+    """hot_keys, without looking where there are too few rows for one."""
+    return hot_keys(df, key) if rows >= HOT_FLOOR else []
+
+
+def _replace(arcs: DataFrame, removed: DataFrame, rows: int) -> DataFrame:
     """Arcs whose ends were removed point to the vertex that stands for them: removed(u, to)."""
     r = removed.select(F.col("u").alias("v"), F.col("to"))
-    moved = skew_join(arcs, r, "v", hot_keys(arcs, "v"), "left").select("u", F.coalesce("to", "v").alias("v"))
-    moved = skew_join(moved, removed.select("u", "to"), "u", hot_keys(moved, "u"), "left").select(F.coalesce("to", "u").alias("u"), "v")
+    hot = _hot(arcs, "u", rows)  # the arcs go both ways, so v has the same hot keys
+    moved = skew_join(arcs, r, "v", hot, "left").select("u", F.coalesce("to", "v").alias("v"))
+    moved = skew_join(moved, removed.select("u", "to"), "u", hot, "left").select(F.coalesce("to", "u").alias("u"), "v")
     return both_ways(moved)
 
 
@@ -50,8 +62,10 @@ def strip_leaves(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaf = deg.filter("deg = 1").select("u", F.col("lo").alias("to"))
     mutual = leaf.alias("a").join(leaf.alias("b"), (F.col("a.to") == F.col("b.u")) & (F.col("b.to") == F.col("a.u")) & (F.col("a.u") < F.col("b.u"))).select(F.col("a.u").alias("u"))
     removed = cut(leaf.join(mutual, "u", "left_anti"))
-    left = arcs.join(removed.select("u"), "u", "left_anti").join(removed.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
-    return cut(left), removed
+    # a removed vertex has one arc each way: the arcs go by pairs, without a join on the other end
+    lost = removed.select("u", F.col("to").alias("v"))
+    lost = lost.unionByName(lost.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return cut(arcs.join(lost, ["u", "v"], "left_anti")), removed
 
 
 def compress_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,55 +84,83 @@ def compress_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hop = cut(hop.join(nxt, ["to", "last"], "left").select("u", "back", F.coalesce("last2", "last").alias("last"), F.coalesce("to2", "to").alias("to")))
     ended = hop.join(inner.select(F.col("u").alias("to")), "to", "left_anti")
     whole = ended.groupBy("u").agg(F.count("*").alias("n"), F.min("to").alias("a"), F.max("to").alias("b")).filter("n = 2")
-    removed = cut(whole.select("u", F.col("a").alias("to"), "b"))
-    left = arcs.join(removed.select("u"), "u", "left_anti").join(removed.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
+    removed = cut(whole.select("u", F.col("a").alias("to"), "b").join(inner, "u"))
+    lost = removed.select("u", F.explode(F.array("lo", "hi")).alias("v"))
+    lost = lost.unionByName(lost.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    left = arcs.join(lost, ["u", "v"], "left_anti")
     spans = removed.select(F.col("to").alias("u"), F.col("b").alias("v"))
     return cut(left.unionByName(both_ways(spans)).distinct()), removed.select("u", "to")
 
 
-def contract(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contract(arcs: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Each vertex joins its first neighbour in the fixed order, if that comes before it; trees become single vertices."""
     best = arcs.groupBy("u").agg(F.min(_order("v")).alias("m")).select("u", F.when(F.col("m") < _order("u"), F.col("m")["v"]).alias("to"))
     best = cut(best.filter("to is not null"))
     while True:
         up = best.select(F.col("u").alias("to"), F.col("to").alias("top"))
-        nxt = cut(skew_join(best, up, "to", hot_keys(best, "to"), "left").select("u", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("moved")))
+        nxt = cut(skew_join(best, up, "to", _hot(best, "to", rows), "left").select("u", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("moved")))
         best = nxt.select("u", "to")
         if nxt.filter("moved").limit(1).count() == 0:
             break
-    return cut(_replace(arcs, best)), best
+    return cut(_replace(arcs, best, rows)), best
+
+
+def solve_core(arcs: DataFrame) -> DataFrame:
+    """removed(u, to) of a core of at most CORE arcs, by union and find in one task; `to` is one vertex of the group."""
+    kind = arcs.schema["u"].dataType.simpleString()
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
 
-def connected_components(edges: DataFrame) -> DataFrame:
+        def find(x):
+            root = x
+            while parent[root] != root:
+                root = parent[root]
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for f in frames:
+            for u, v in zip(f["u"], f["v"]):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                a, b = find(u), find(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        found = [(x, find(x)) for x in parent]
+        yield pd.DataFrame([p for p in found if p[0] != p[1]], columns=["u", "to"])
+
+    return arcs.filter("u < v").coalesce(1).mapInPandas(run, f"u {kind}, to {kind}")
+
+
+def connected_components(edges: DataFrame, core: int = CORE) -> DataFrame:
     """edges(u, v) of any comparable type -> (vertex, label): label is one vertex of the group, the same for all of it.
 
     Loops, repeats and direction do not matter; an edge with a null end says nothing; no edges, no rows.
     """
     arcs = cut(both_ways(edges.filter("u is not null and v is not null")))
-    vertices = arcs.select(F.col("u").alias("vertex")).distinct()
-    stages, n = [], arcs.count()
+    all_arcs, stages, n = arcs, [], arcs.count()
     while n:
         before = n
         arcs, removed = strip_leaves(arcs)
-        stages.append(removed)
+        stages.append((removed, before))
+        arcs, removed = compress_chains(arcs)
+        stages.append((removed, before))
         n = arcs.count()
-        if n:
-            arcs, removed = compress_chains(arcs)
-            stages.append(removed)
-            n = arcs.count()
-        if n > (1 - LEAST_SHRINK) * before:
+        if n <= core or n > (1 - LEAST_SHRINK) * before:
             break
-    while n:
-        arcs, removed = contract(arcs)
-        stages.append(removed)
+    while n > core:
+        arcs, removed = contract(arcs, n)
+        stages.append((removed, n))
         n = arcs.count()
-    gone = [s.select("u") for s in stages]
-    labels = vertices
-    for g in gone:
-        labels = labels.join(g.withColumnRenamed("u", "vertex"), "vertex", "left_anti")
-    labels = cut(labels.select("vertex", F.col("vertex").alias("label")))
-    for s in reversed(stages):
-        back = skew_join(s, labels.select(F.col("vertex").alias("to"), "label"), "to", hot_keys(s, "to"))
+    if n:
+        stages.append((cut(solve_core(arcs)), n))
+    gone = all_arcs.select(F.col("u").alias("u")).limit(0)
+    for removed, _ in stages:
+        gone = gone.unionByName(removed.select("u"))
+    labels = all_arcs.select("u").distinct().join(gone, "u", "left_anti").select(F.col("u").alias("vertex"), F.col("u").alias("label"))
+    for removed, rows in reversed(stages):
+        back = skew_join(removed, labels.select(F.col("vertex").alias("to"), "label"), "to", _hot(removed, "to", rows))
         labels = cut(labels.unionByName(back.select(F.col("u").alias("vertex"), "label")))
     return labels
 
