@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,15 +29,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """What this process wrote into the checkpoint folder goes with it, if the session still lives."""
+    for spark, path in _WRITTEN:
+        try:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: BLE001 - the session has ended
+            return
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, for tables that an operator writes."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes df once into a written table of the shared checkpoint folder and reads it from there.
+
+    This cuts the lineage, survives the loss of executors, and unlike a checkpointed plan carries no inferred constraints,
+    which pile up exponentially over the rounds of iterative operators.
+    """
+    path = workspace(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
