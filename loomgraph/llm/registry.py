@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = [f"loomgraph.llm.{m}" for m in ("ledger", "springrank", "components", "tokenize", "packing", "abuse", "history")]
+MODULES = [f"loomgraph.llm.{m}" for m in ("ledger", "springrank", "components", "tokenize", "packing", "abuse", "history", "mapping")]
 
 
 def _modules() -> list:
