@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["loomgraph.operators.orphans", "loomgraph.operators.nested"]
+MODULES = ["loomgraph.operators.orphans", "loomgraph.operators.nested", "loomgraph.operators.stats"]
 
 
 def queries() -> dict:
