@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["loomgraph.operators.orphans", "loomgraph.operators.nested", "loomgraph.operators.stats", "loomgraph.functions.scoring", "loomgraph.operators.explore"]
+MODULES = ["loomgraph.operators.orphans", "loomgraph.operators.nested", "loomgraph.operators.stats", "loomgraph.functions.scoring", "loomgraph.operators.explore", "loomgraph.operators.resolve", "loomgraph.operators.iterate"]
 
 
 def queries() -> dict:
