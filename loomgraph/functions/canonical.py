@@ -14,8 +14,8 @@ UNSEEN = r"[\s\p{Z}\p{C}" + _BLANKS + "]+"
 
 
 def canonical(c: Column) -> Column:
-    """Null becomes ''. Upper before lower case makes forms without a single-letter partner (the German sharp s) agree."""
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), IGNORED, "")))
+    """Null becomes ''. Upper before lower case makes forms of one letter agree (the two small sigmas); sharp s is ss."""
+    return F.replace(F.lower(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), IGNORED, ""))), F.lit("ß"), F.lit("ss"))
 
 
 def is_blank(c: Column) -> Column:

@@ -103,7 +103,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return p4_orphans(spark, d).groupBy("referred_to", "period", "kind").agg(F.count("*").alias("orphans"))
 
 
-_CANON = r"lower(upper(regexp_replace(coalesce({0}, ''), '[\s\p{{Z}}\p{{P}}\p{{C}}$+<=>^`|~]+', '', 'g')))"
+_CANON = r"replace(lower(upper(regexp_replace(coalesce({0}, ''), '[\s\p{{Z}}\p{{P}}\p{{C}}$+<=>^`|~]+', '', 'g'))), 'ß', 'ss')"
 
 
 def sql_canon(x: str) -> str:
