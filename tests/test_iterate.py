@@ -37,7 +37,7 @@ def test_best_path_goldens(spark, graph, name, mean, depths):
 @pytest.mark.parametrize("name,mean", [("transformer", 0.1939929429459029), ("mamba", 0.18885912011312236)])
 def test_pagerank_goldens(spark, graph, name, mean):
     _, n, adj = graph
-    got = ppr(adj.select("node_id", "other_id"), n, seed(spark, name), rounds=50 if name == "mamba" else 50).filter("score > 0").collect()
+    got = ppr(adj.select("node_id", "other_id"), n, seed(spark, name), rounds=50).filter("score > 0").collect()
     rest = [r.score for r in got if r.node_id != name]
     assert sum(rest) / len(rest) == pytest.approx(mean, abs=1e-9)
     assert sum(r.score for r in got) == pytest.approx(1.0)
