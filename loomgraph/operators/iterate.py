@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from loomgraph.plans.graph import G, NULL_CONFIDENCE, NULL_SIGNIFICANCE, edge_type_dim, linked_edges, nodes, undirected
 from loomgraph.runtime import cut
 
-DECAY, WAVE_STEPS, WAVE_FAN, WAVE_LEAST = 0.7, 3, 50, 0.01
+DECAY, WAVE_STEPS, WAVE_MOST_STEPS, WAVE_FAN, WAVE_LEAST = 0.7, 5, 10, 50, 0.01
 WALK_DEPTH, WALK_LEAST, BONUS, LOW_DEGREE = 4, 0.05, 1.5, 5
 ALPHA, PPR_ROUNDS = 0.15, 50
+#: What the SQL of activation_wave and wave_step_topk is unrolled to; the queries of the whole job are *_full.
+SQL_STEPS = 3
 
 
 def _or_half(c: str, half: float):
@@ -31,7 +33,9 @@ def wave_adjacency(e: DataFrame, n: DataFrame, fan: int = WAVE_FAN) -> DataFrame
 
 def activation_wave(adjacency: DataFrame, seed: DataFrame, steps: int = WAVE_STEPS, decay: float = DECAY) -> DataFrame:
     """(step, node_id, score) of what each step newly activates or raises; every node is expanded once, with the score it
-    then has. seed(node_id)."""
+    then has. seed(node_id); at most WAVE_MOST_STEPS steps."""
+    if steps > WAVE_MOST_STEPS:
+        raise ValueError(f"at most {WAVE_MOST_STEPS} steps")
     adjacency = cut(adjacency)
     state = seed.select("node_id", F.lit(1.0).alias("score"), F.lit(False).alias("spent"))
     out = seed.select(F.lit(0).alias("step"), "node_id", F.lit(1.0).alias("score"))
@@ -119,15 +123,33 @@ def _input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return e, cut(nodes(spark, d)), cut(u)
 
 
-def q_wave(spark: SparkSession, d: str) -> DataFrame:
+def _wave(spark: SparkSession, d: str, steps: int) -> DataFrame:
     e, n, s = _input(spark, d)
-    return activation_wave(wave_adjacency(e, n), s).select("step", "node_id", F.round("score", 6).alias("score"))
+    return activation_wave(wave_adjacency(e, n), s, steps).select("step", "node_id", F.round("score", 6).alias("score"))
 
 
-def q_wave_top(spark: SparkSession, d: str) -> DataFrame:
+def _wave_top(wave: DataFrame) -> DataFrame:
     """At most 50 activations per step above the display threshold."""
     w = Window.partitionBy("step").orderBy(F.desc("score"), "node_id")
-    return q_wave(spark, d).filter(F.col("score") > WAVE_LEAST).withColumn("rank", F.row_number().over(w)).filter("rank <= 50").select("step", "node_id", "score")
+    return wave.filter(F.col("score") > WAVE_LEAST).withColumn("rank", F.row_number().over(w)).filter("rank <= 50").select("step", "node_id", "score")
+
+
+def q_wave(spark: SparkSession, d: str) -> DataFrame:
+    """The first SQL_STEPS steps only, as in its SQL."""
+    return _wave(spark, d, SQL_STEPS)
+
+
+def q_wave_top(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first SQL_STEPS steps only, as in its SQL."""
+    return _wave_top(q_wave(spark, d))
+
+
+def q_wave_full(spark: SparkSession, d: str) -> DataFrame:
+    return _wave(spark, d, WAVE_STEPS)
+
+
+def q_wave_top_full(spark: SparkSession, d: str) -> DataFrame:
+    return _wave_top(q_wave_full(spark, d))
 
 
 def q_best_path(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +195,7 @@ p0 AS (SELECT gn.node_id, deg IS NULL AS dangling, (gn.node_id IN (SELECT node_i
 p{k} AS MATERIALIZED (SELECT p.node_id, dangling, s, 0.85::double * (coalesce(got, 0.0) + (SELECT coalesce(sum(score), 0.0) FROM p{k - 1} WHERE dangling) * s) + 0.15::double * s AS score FROM p{k - 1} p LEFT JOIN q{k} USING (node_id))"""
     for k in range(1, 9)
 )
-QUERIES = {"activation_wave": q_wave, "wave_step_topk": q_wave_top, "best_path_activation": q_best_path, "activation_by_depth": q_by_depth, "ppr": q_ppr, "two_hop_proxy_similarity": q_two_hop, "typed_random_walk": q_walks}
+QUERIES = {"activation_wave": q_wave, "wave_step_topk": q_wave_top, "activation_wave_full": q_wave_full, "wave_step_topk_full": q_wave_top_full, "best_path_activation": q_best_path, "activation_by_depth": q_by_depth, "ppr": q_ppr, "two_hop_proxy_similarity": q_two_hop, "typed_random_walk": q_walks}
 SQL = {
     "activation_wave": _WAVE + " SELECT * FROM wv",
     "wave_step_topk": _WAVE + " SELECT step, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY score DESC, node_id) AS rn FROM wv WHERE score > 0.01) WHERE rn <= 50",

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import registry
+from loomgraph.operators import iterate
 from loomgraph.operators.iterate import activation_wave, best_path_activation, ppr, random_walks, two_hop_proxy, wave_adjacency
 from loomgraph.plans.graph import edge_type_dim
 
@@ -64,3 +66,19 @@ def test_wave_expands_each_node_once(spark, graph):
     first = {r.node_id: r.score for r in got if r.step == 1}
     assert first["quad_mem"] == pytest.approx(0.7 * 0.8 * 0.9 * 0.9) and set(first) == {"self_attn", "quad_mem"}
     assert all(r.step > 0 or r.node_id == "transformer" for r in got)
+
+
+@pytest.fixture
+def chain(spark, monkeypatch):
+    """n00 - n01 - ... - n12, the seed at n00."""
+    e = spark.createDataFrame([(f"n{i:02}", "USES", f"n{i + 1:02}", 1.0) for i in range(12)], "src_id string, edge_type string, dst_id string, confidence double")
+    n = spark.createDataFrame([(f"n{i:02}", 1.0) for i in range(13)], "node_id string, significance double")
+    monkeypatch.setattr(iterate, "_input", lambda spark, d: (e, n, seed(spark, "n00")))
+
+
+def test_registered_wave_takes_all_steps(spark, chain):
+    got = {r.node_id: r.step for r in registry.queries()["activation_wave_full"](spark, "").collect()}
+    assert got == {f"n{i:02}": i for i in range(6)}
+    assert {r.step for r in registry.queries()["wave_step_topk_full"](spark, "").collect()} <= set(range(6))
+    with pytest.raises(ValueError):
+        activation_wave(None, None, steps=11)
