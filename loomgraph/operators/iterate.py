@@ -14,8 +14,8 @@ from loomgraph.runtime import cut
 DECAY, WAVE_STEPS, WAVE_MOST_STEPS, WAVE_FAN, WAVE_LEAST = 0.7, 5, 10, 50, 0.01
 WALK_DEPTH, WALK_LEAST, BONUS, LOW_DEGREE = 4, 0.05, 1.5, 5
 ALPHA, PPR_ROUNDS = 0.15, 50
-#: What the SQL of activation_wave and wave_step_topk is unrolled to; the queries of the whole job are *_full.
-SQL_STEPS = 3
+#: What the SQL of activation_wave, wave_step_topk and ppr is unrolled to; the queries of the whole job are *_full.
+SQL_STEPS, SQL_ROUNDS = 3, 8
 
 
 def _or_half(c: str, half: float):
@@ -161,10 +161,20 @@ def q_by_depth(spark: SparkSession, d: str) -> DataFrame:
     return q_best_path(spark, d).groupBy("depth").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-def q_ppr(spark: SparkSession, d: str) -> DataFrame:
+def _ppr(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     e, n, s = _input(spark, d)
     arcs = both_directions(e).select(F.col("src_id").alias("node_id"), F.col("dst_id").alias("other_id"))
-    return ppr(arcs, n, s, rounds=8).filter("score > 0").select("node_id", F.round("score", 6).alias("score"))
+    return ppr(arcs, n, s, rounds=rounds).filter("score > 0")
+
+
+def q_ppr(spark: SparkSession, d: str) -> DataFrame:
+    """The first SQL_ROUNDS rounds only, as in its SQL."""
+    return _ppr(spark, d, SQL_ROUNDS).select("node_id", F.round("score", 6).alias("score"))
+
+
+def q_ppr_full(spark: SparkSession, d: str) -> DataFrame:
+    """All PPR_ROUNDS rounds; scores unrounded, since far nodes have small ones."""
+    return _ppr(spark, d, PPR_ROUNDS)
 
 
 def q_two_hop(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +205,7 @@ p0 AS (SELECT gn.node_id, deg IS NULL AS dangling, (gn.node_id IN (SELECT node_i
 p{k} AS MATERIALIZED (SELECT p.node_id, dangling, s, 0.85::double * (coalesce(got, 0.0) + (SELECT coalesce(sum(score), 0.0) FROM p{k - 1} WHERE dangling) * s) + 0.15::double * s AS score FROM p{k - 1} p LEFT JOIN q{k} USING (node_id))"""
     for k in range(1, 9)
 )
-QUERIES = {"activation_wave": q_wave, "wave_step_topk": q_wave_top, "activation_wave_full": q_wave_full, "wave_step_topk_full": q_wave_top_full, "best_path_activation": q_best_path, "activation_by_depth": q_by_depth, "ppr": q_ppr, "two_hop_proxy_similarity": q_two_hop, "typed_random_walk": q_walks}
+QUERIES = {"activation_wave": q_wave, "wave_step_topk": q_wave_top, "activation_wave_full": q_wave_full, "wave_step_topk_full": q_wave_top_full, "best_path_activation": q_best_path, "activation_by_depth": q_by_depth, "ppr": q_ppr, "ppr_full": q_ppr_full, "two_hop_proxy_similarity": q_two_hop, "typed_random_walk": q_walks}
 SQL = {
     "activation_wave": _WAVE + " SELECT * FROM wv",
     "wave_step_topk": _WAVE + " SELECT step, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY score DESC, node_id) AS rn FROM wv WHERE score > 0.01) WHERE rn <= 50",

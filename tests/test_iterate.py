@@ -82,3 +82,16 @@ def test_registered_wave_takes_all_steps(spark, chain):
     assert {r.step for r in registry.queries()["wave_step_topk_full"](spark, "").collect()} <= set(range(6))
     with pytest.raises(ValueError):
         activation_wave(None, None, steps=11)
+
+
+def test_registered_pagerank_takes_all_rounds(spark, chain):
+    want = [1.0] + [0.0] * 12
+    for _ in range(50):
+        new = [0.15] + [0.0] * 12
+        for i, x in enumerate(want):
+            to = [j for j in (i - 1, i + 1) if 0 <= j <= 12]
+            for j in to:
+                new[j] += 0.85 * x / len(to)
+        want = new
+    got = {r.node_id: r.score for r in registry.queries()["ppr_full"](spark, "").collect()}
+    assert got == pytest.approx({f"n{i:02}": x for i, x in enumerate(want)}, abs=1e-12)
