@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.plans.graph import sql_values
-from loomgraph.runtime import read
+from loomgraph.runtime import cut, read
 
 LINK, MERGE, BLOCK = 0.85, 0.95, 0.6
 #: Separators between tokens of a name.
@@ -84,25 +84,33 @@ def pair_confidence(string_sim: Column, alias_match: Column, embedding: Column |
 def block_by_token(entities: DataFrame, most: float = BLOCK) -> DataFrame:
     """entities(id, node_type, norm, norm_known) -> candidate pairs of one type with similarity from `most` on.
 
-    Complete for this threshold without comparing all pairs: a Jaccard index of `most` needs a common token among the first
-    (1 - most) * n + 1 of either side in one fixed order (rarest first), so only those prefixes are joined; containment needs
-    the shorter name's length and a shared leading trigram position, so names also meet by their trigrams of the rarest kind.
-    Equal names are one row before the join, so repeats do not multiply. Names of one or two letters meet by tokens only.
+    Complete for this threshold without comparing all pairs: token sets of n and m need `o` tokens in common, so of either the
+    n - o + 1 rarest, in one fixed order, hold a common one, and only those are joined, by the sizes of both. A contained name
+    meets the longer one by its rarest trigram; one of two letters by the pairs of letters of three-letter names.
+    Equal names are one row before the join, so repeats do not multiply.
     """
-    names = entities.groupBy("node_type", "norm").agg(F.min("id").alias("id"), F.max("norm_known").alias("norm_known"))
-    grams = F.array_distinct(F.when(F.length("norm") < 3, F.array("norm")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 2)), lambda i: F.substring(F.col("norm"), i, F.lit(3)))))
-    tokens = F.array_distinct(F.split("norm", SEPARATORS))
-    marked = names.withColumn("marks", F.concat(F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), F.transform(grams, lambda g: F.concat(F.lit("g:"), g))))
-    rarity = marked.select("node_type", F.explode("marks").alias("mark")).groupBy("node_type", "mark").agg(F.count("*").alias("df"))
-    each = marked.select("node_type", "norm", "id", "norm_known", F.explode("marks").alias("mark")).join(rarity, ["node_type", "mark"])
-    kind = F.substring("mark", 1, 1)
-    per = each.groupBy("node_type", "norm", "id", "norm_known", kind.alias("kind")).agg(F.array_sort(F.collect_list(F.struct("df", "mark"))).alias("ms"))
-    # contained names share all trigrams of the shorter one, so its rarest suffices there; tokens use the Jaccard prefix
-    keep = F.when(F.col("kind") == "t", F.slice("ms", F.lit(1), F.size("ms") - F.ceil(F.size("ms") * most).cast("int") + 1)).otherwise(F.slice("ms", 1, 1))
-    probe = per.select("node_type", "norm", "id", "norm_known", F.explode(keep).alias("m")).select("node_type", "norm", "id", "norm_known", F.col("m.mark").alias("mark"))
-    full = each.select("node_type", F.col("norm").alias("norm2"), F.col("id").alias("id2"), F.col("norm_known").alias("known2"), "mark")
-    met = probe.join(full, ["node_type", "mark"]).filter("norm <> norm2").select("node_type", F.least("norm", "norm2").alias("a"), F.greatest("norm", "norm2").alias("b")).distinct()
-    return met.withColumn("similarity", string_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= most)
+    names = entities.groupBy("node_type", "norm").agg(F.min("id").alias("id"))
+    size = F.length("norm")
+    sub = lambda k: lambda i: F.substring(F.col("norm"), i, F.lit(k))
+    grams = F.when(size >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 2)), sub(3))).otherwise(F.array())
+    pairs = F.when(size == 2, F.array("norm")).when(size == 3, F.transform(F.array(F.lit(1), F.lit(2)), sub(2))).otherwise(F.array())
+    kinds = lambda kind: lambda m: F.concat(F.lit(f"{kind}:"), m)
+    marks = F.concat(F.transform(F.split("norm", SEPARATORS), kinds("t")), F.transform(grams, kinds("g")), F.transform(pairs, kinds("s")))
+    marked = cut(names.select("node_type", "norm", F.explode(F.array_distinct(marks)).alias("mark")))
+    rarity = marked.groupBy("node_type", "mark").agg(F.count("*").alias("df"))
+    each = marked.join(rarity, ["node_type", "mark"])
+    per = each.groupBy("node_type", "norm", F.substring("mark", 1, 1).alias("kind")).agg(F.array_sort(F.collect_list(F.struct("df", "mark"))).alias("ms"))
+    sized = per.filter("kind = 't'").withColumn("n", F.size("ms"))
+    sized = sized.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * most - 1e-9).cast("int"), F.floor(F.col("n") / most + 1e-9).cast("int"))))
+    common = F.ceil((F.col("n") + F.col("m")) * (most / (1 + most)) - 1e-9).cast("int")
+    t = cut(sized.withColumn("k", F.col("n") - common + 1).filter("k > 0").select("node_type", "norm", "n", "m", F.explode(F.expr("slice(ms, 1, k)")).alias("x")).select("node_type", "norm", "n", "m", F.col("x.mark").alias("mark")))
+    t2 = t.select("node_type", F.col("norm").alias("norm2"), F.col("n").alias("m"), F.col("m").alias("n"), "mark")
+    by_token = t.join(t2, ["node_type", "mark", "n", "m"]).filter("norm < norm2").select("node_type", F.col("norm").alias("a"), F.col("norm2").alias("b"))
+    probe = per.filter("kind = 'g' or kind = 's' and length(norm) = 2").select("node_type", "norm", F.element_at("ms", 1)["mark"].alias("mark"))
+    inside = probe.join(marked.filter("mark not like 't:%'").withColumnRenamed("norm", "norm2"), ["node_type", "mark"])
+    inside = inside.filter(F.expr("norm <> norm2 and contains(norm2, norm)") & (F.length("norm") >= F.length("norm2") * (most - 1e-9)))
+    met = by_token.unionByName(inside.select("node_type", F.least("norm", "norm2").alias("a"), F.greatest("norm", "norm2").alias("b")))
+    return met.withColumn("similarity", string_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= most).distinct()
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
@@ -116,6 +124,14 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
     return normalized(n, "name", alias_dim(spark), "norm")
 
 
+def _named_all(spark: SparkSession, d: str) -> DataFrame:
+    """Names and types of the extracted entities and of the seed nodes, each once."""
+    e = read(spark, d, "entities").select(F.col("type").alias("node_type"), F.col("entity_id").cast("string").alias("id"), "name")
+    n = read(spark, d, "nodes").select("node_type", F.col("node_id").alias("id"), "name")
+    rows = e.unionByName(n).filter("name is not null").groupBy("node_type", "name").agg(F.min("id").alias("id"))
+    return normalized(rows, "name", alias_dim(spark), "norm")
+
+
 def q_normalize(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "entities").filter("name is not null").select("entity_id", "name")
     return normalized(e, "name", alias_dim(spark), "norm").select("entity_id", "norm", F.col("norm_known").alias("known"))
@@ -134,7 +150,16 @@ def q_pair_confidence(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pair_id", F.round(pair_confidence(string_similarity(a, b), a == b, F.col("confidence")), 6).alias("confidence"))
 
 
+def q_block_full(spark: SparkSession, d: str) -> DataFrame:
+    return block_by_token(_named_all(spark, d)).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def q_resolve_full(spark: SparkSession, d: str) -> DataFrame:
+    return resolve(block_by_token(_named_all(spark, d))).select("node_type", "a", "b", "confidence", "decision")
+
+
 def q_block(spark: SparkSession, d: str) -> DataFrame:
+    """Of the seed nodes only, as in its SQL; so is q_resolve."""
     return block_by_token(_named(spark, d)).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -188,6 +213,8 @@ QUERIES = {
     "pair_confidence": q_pair_confidence,
     "er_block": q_block,
     "resolve_entities": q_resolve,
+    "er_block_full": q_block_full,
+    "resolve_entities_full": q_resolve_full,
     "er_summary": q_er_summary,
     "er_metrics": q_er_metrics,
     "er_top_duplicates": q_top_duplicates,
