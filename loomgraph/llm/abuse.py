@@ -2,8 +2,8 @@
 
 Folding undoes disguises: letter case, compatibility forms, invisible characters, accents, look-alike letters of other scripts,
 digits and signs for letters, spaced-out or drawn-out letters, and vowels masked by asterisks. The automaton then finds all
-lexicon entries at word boundaries in one pass over the folded text. Exception phrases name the sentences that study, name or
-quote such language; single words in them, and single words between quotation marks, do not count. The weight of a text is
+lexicon entries at word boundaries in one pass over the folded text. Exception phrases study, name or quote such language;
+single words close to them, unless said to someone, and single words between quotation marks do not count. The weight of a text is
 the sum over its entries (each once per sentence); the score is that weight normalised by length, as a share of the words.
 """
 
@@ -63,11 +63,16 @@ halt die fresse | halts maul | halt das maul | verpiss dich | du dumme | dumme s
 ferme ta gueule | ta gueule | pauvre con | pauvre conne | sale con | tu nes quun | va te faire | va mourir | creve | photos de toi | toute nue | de la vermine | quon les chasse | rentrez chez vous | je vais te tuer
 eres un | callate de una vez | a la mierda | vete a la | pedazo de | hijo de puta | muerete | te voy a matar | son una plaga | sobran aqui | que se vayan | fotos desnuda | fotos desnudo | estoy muy caliente | son animales
 """
-#: Sentences with one of these study, name or quote such language: their single words do not count.
+#: Phrases that name, quote or count such language: single words up to NEAR words from them do not count, unless the sentence
+#: speaks to or of a person or group (ADDRESS). Bare topic words (benchmark, filter, term) are no such phrases.
 EXCEPTIONS = """
-the word | words such as | terms such as | term | such as | how often | marked | flags | flagged | filter | classifier | confuses | benchmark | annotated | annotators | detection | detector | detect | dataset of | corpus of
-toxic comment | hate speech | in the survey | had been insulted | we study | we count | lexicon | moderation | quoted | quote | quotes | mentions of | labelled | recall of | precision of | cancer | screening | screened | mice | worm | markov chain | toy story | gradient | weights discarded | adult income | reader's patience | stack | debug symbols | comparison of the two plots | brute force | garbage collection | host as | simple but hard
+the word | the words | words such as | words like | the term | the terms | terms such as | terms like | how often | marked as | flagged as | labelled as | annotated as | confused with | dataset of | corpus of
+toxic comment | hate speech | had been insulted | we study | we count | lexicon of | moderation of | quoted as | the quote | quotes such as | mentions of | recall of | precision of | detection of | detector of | classifier of | filter for
+breast cancer | nude mice | sex linked | erotic fiction | markov chain | toy story | adult income | brute force | garbage collection | debug symbols | weights discarded
 """
+#: Words between an exception phrase and a word that it covers, and one more.
+NEAR = 4
+ADDRESS = frozenset("you your youre yours yourself yourselves ur u he she hes shes they theyre them these those people du dich dir dein deine deiner ihr euch sie tu toi te ta tes ton vous votre vos eres tus ti usted ustedes son".split())
 
 _HOMOGLYPHS = dict(
     zip(
@@ -170,6 +175,11 @@ def automaton(strong: str = STRONG_WORDS, weak: str = WEAK_WORDS, phrases: str =
     return a
 
 
+def _near(t: str, start: int, end: int, first: int, last: int) -> bool:
+    """Whether the word in t[start:end] lies in t[first:last] or fewer than NEAR words from it."""
+    return t[min(end, last) : max(start, first)].count(" ") <= NEAR
+
+
 def weigh(text: str | None, a) -> tuple[float, int, str]:
     """(weight, words, the heaviest entries) of a text; null and blank texts weigh nothing."""
     if not text:
@@ -179,7 +189,7 @@ def weigh(text: str | None, a) -> tuple[float, int, str]:
     words = t.count(" ") - 1 - t.count("|")
     if not any(v[0] != "exception" for _, v in hits):
         return 0.0, words, ""
-    sentences: dict[int, dict[str, tuple]] = {}
+    sentences: dict[int, list[tuple]] = {}
     marks = [i for i, c in enumerate(t) if c == "|"]
     k = 0
     for end, v in hits:
@@ -187,18 +197,21 @@ def weigh(text: str | None, a) -> tuple[float, int, str]:
             k += 1
         if v[0] in ("strong", "weak") and t[end - v[3] - 2 : end - v[3] - 1] == '"' and t[end + 1 : end + 2] == '"':
             continue
-        sentences.setdefault(k, {})[v[1]] = v
+        sentences.setdefault(k, []).append((end, v))
     total, seen = 0.0, []
-    for found in sentences.values():
-        kinds = [v[0] for v in found.values()]
-        excepted = "exception" in kinds
-        phrases = [v for v in found.values() if v[0] == "phrase"]
-        strong = [v for v in found.values() if v[0] == "strong" and not excepted]
-        weak = [v for v in found.values() if v[0] == "weak" and not excepted]
-        weight = sum(v[2] for v in phrases + strong)
+    for k, found in sentences.items():
+        first, last = (marks[k - 1] if k else 0), (marks[k] if k < len(marks) else len(t))
+        spans = [] if ADDRESS.intersection(t[first:last].split()) else [(e - v[3], e) for e, v in found if v[0] == "exception"]
+        kept: dict[str, tuple] = {}
+        for end, v in found:
+            if v[0] == "phrase" or v[0] != "exception" and not any(_near(t, end - v[3], end, *x) for x in spans):
+                kept[v[1]] = v
+        strong = [v for v in kept.values() if v[0] != "weak"]
+        weak = [v for v in kept.values() if v[0] == "weak"]
+        weight = sum(v[2] for v in strong)
         if len(weak) >= 2 or weight:
             weight += sum(v[2] for v in weak)
-            seen += [v[1] for v in phrases + strong + weak]
+            seen += [v[1] for v in strong + weak]
         total += weight
     return total, words, ", ".join(dict.fromkeys(seen[:20]))
 

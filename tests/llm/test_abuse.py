@@ -35,3 +35,13 @@ def test_whole_texts_and_nulls(spark):
     docs = spark.createDataFrame([(1, "word " * 50_000 + "you are an idiot"), (2, None), (3, ""), (1, "fine")], "doc_id long, text string")
     got = sorted((r.doc_id, r.weight >= THRESHOLD) for r in score(docs).collect())
     assert got == [(1, False), (1, True), (2, False), (3, False)] and score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Your benchmark is garbage, you idiot", "Nice gradient, moron", "The classifier works, but its author is an idiot and a moron", "You flagged as many as you could, idiot", "In the word list of the second author, as everybody here knows, sits an idiot"])
+def test_topic_words_excuse_nothing(lexicon, text):
+    assert weigh(text, lexicon)[0] >= THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["We count mentions of idiot or moron.", "Comments flagged as stupid garbage were kept."])
+def test_words_near_a_mention_do_not_count(lexicon, text):
+    assert weigh(text, lexicon)[0] < THRESHOLD
