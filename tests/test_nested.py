@@ -43,3 +43,26 @@ def test_tables_keep_links(spark, tmp_path):
 
 def test_decode():
     assert decode('1 2 "x"') == [1, 2, "x"] and decode('{"a":1}{"b":2}') == [{"a": 1}, {"b": 2}] and decode("12x") is None
+
+
+def test_strings_in_strings_however_deep(spark):
+    payload = json.dumps({"title": "t", "entities": [{"name": "a"}]})
+    for _ in range(12):
+        payload = json.dumps(payload)
+    assert [r[1:] for r in rows(spark, [payload])] == [("entity", 0, 0, "a"), ("paper", 0, 0, "")]
+
+
+def test_papers_in_papers_and_children_in_strings(spark):
+    inner = {"title": "B", "entities": [{"name": "b"}]}
+    outer = {"title": "A", "abstract": json.dumps(inner), "related": {"more": [inner]}, "entities": json.dumps([{"name": "a"}]), "relations": [json.dumps({"source": "s"}), "plain"]}
+    assert [r[1:] for r in rows(spark, [json.dumps(outer)])] == [("entity", 0, 0, "a"), ("paper", 0, 0, ""), ("relation", 0, 0, "s"), ("relation", 0, 1, "plain"), ("entity", 1, 0, "b"), ("paper", 1, 1, "")]
+
+
+def test_children_without_names_and_null_groups(spark):
+    paper = {"title": "t", "entities": [{"bottleneck_class": None}, {"x": None}, {"techniques": [{"mathematical_structure": None}], "problems": None}], "relations": {"all": None}, "novelty": {"reasoning": None}}
+    assert [r[1:] for r in rows(spark, [json.dumps(paper)])] == [("entity", 0, 0, ""), ("entity", 0, 1, ""), ("entity", 0, 2, ""), ("novelty", 0, 0, ""), ("paper", 0, 0, "")]
+
+
+def test_keys_written_twice(spark):
+    payload = '{"title": "a", "title": "t", "entities": [{"name": "x"}], "entities": {"name": "y"}, "novelty": null, "novelty": {"classification": "c"}}'
+    assert [r[1:] for r in rows(spark, [payload])] == [("entity", 0, 0, "x"), ("entity", 0, 1, "y"), ("novelty", 0, 0, "c"), ("paper", 0, 0, "")]
