@@ -22,7 +22,11 @@ def is_blank(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), UNSEEN, "") == ""
 
 
-def pair_key(a: Column, b: Column) -> Column:
-    """The two canonical values in byte order, so it does not matter which column holds which."""
-    x, y = canonical(a), canonical(b)
+def canonical_pair(x: Column, y: Column) -> Column:
+    """Two canonical values in byte order, so it does not matter which column holds which."""
     return F.concat_ws("\u0001", F.least(x, y), F.greatest(x, y))
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    """The two values' canonical forms in byte order."""
+    return canonical_pair(canonical(a), canonical(b))

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import orphans
 from loomgraph.operators.orphans import find_orphans, known_parents, relation_ends
 
 
@@ -28,17 +29,33 @@ def frames(spark, refs, parents):
     return r, p
 
 
-def test_against_brute_force_with_and_without_hot_keys(spark):
+def test_against_brute_force_however_partitions_fall(spark):
     rnd = random.Random(5)
     keys = ["hot"] * 6 + [f"k{i}" for i in range(12)]
     parents = [("e", rnd.choice(keys[3:]), t(rnd.randrange(60)), rnd.choice([None, t(rnd.randrange(60))])) for _ in range(60)]
     parents = [p for p in parents if p[1] != "hot" or p[3] is not None] + [("e", "k3", None, None)]
     refs = [("e", rnd.choice(keys), t(rnd.choice([None, *range(70)])), i) for i in range(400)]
-    for hot in ([], ["hot", "k1", "k3"]):
-        got = {(r.ref, r.kind, r.state) for r in find_orphans(*frames(spark, refs, parents), hot=hot).collect()}
+    for parts in (None, 1, 7, 40):
+        got = {(r.ref, r.kind, r.state) for r in find_orphans(*frames(spark, refs, parents), parts=parts).collect()}
         assert got == brute(refs, parents)
 
 
+def test_one_key_at_one_instant_is_split(spark, monkeypatch):
+    """A key that holds all rows, all at one time: it lies in several partitions, and each knows what came before."""
+    parents = [("e", "hot", t(1), t(3)), ("e", "hot", t(6), None)]
+    for day, state in ((0, "late"), (2, None), (3, "deleted"), (7, None)):
+        refs = [("e", "hot", t(day), i) for i in range(300)]
+        sizes = []
+        monkeypatch.setattr(orphans, "_carried", lambda ends, f=orphans._carried: sizes.append(len(ends)) or f(ends))
+        got = {(r.ref, r.state) for r in find_orphans(*frames(spark, refs, parents), parts=6).collect()}
+        assert got == (set() if state is None else {(i, state) for i in range(300)}) and sizes[-1] >= 3
+
+
+def test_long_keys_nulls_and_repeats(spark):
+    refs = [("e", "x" * 200_000, t(1), 1), ("e", "x" * 200_000, t(1), 1), (None, "a", t(1), 2), ("e", None, t(1), 3)]
+    assert sorted((r.ref, r.state) for r in find_orphans(*frames(spark, refs, [("e", None, t(0), None)])).collect()) == [(1, "missing"), (1, "missing")]
+
+
 def test_empty_tables(spark):
     refs, parents = frames(spark, [], [("e", "a", t(0), None)])
     assert find_orphans(refs, parents).count() == 0
