@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,15 @@ def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary one, but only in a single process
+    (tests): executors elsewhere would not see it, so a cluster without the setting is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loomgraph-")
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="loomgraph-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -32,13 +38,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @atexit.register
 def _forget() -> None:
     """What this process wrote into the checkpoint folder goes with it, if the session still lives."""
     for spark, path in _WRITTEN:
         try:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended
             return
 
@@ -61,6 +71,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """Tables written in buckets by the hash of a key, so that joins and sums by that key do not shuffle them again.
+
+    There are as many buckets as shuffle partitions. The tables are gone when the block ends; what shall stay must be cut.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.buckets, self.tables = spark, int(spark.conf.get("spark.sql.shuffle.partitions")), []
+
+    def __enter__(self) -> Buckets:
+        return self
+
+    def write(self, df: DataFrame, key: str) -> DataFrame:
+        name, path = f"buckets_{uuid.uuid4().hex}", workspace(self.spark, "buckets")
+        df.repartition(self.buckets, key).write.format("parquet").bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        self.tables.append((name, path))
+        return self.spark.table(name)
+
+    def __exit__(self, *_) -> None:
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+
+
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
     """Keys of at least max(floor, rows / share) rows: at most `share` of them, so the list is bounded whatever the data."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
