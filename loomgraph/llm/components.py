@@ -1,10 +1,10 @@
 """Consolidating pairwise matches into groups: peel the graph, solve the core, put the labels back.
 
 Each round strips the vertices of degree one and compresses the chains of degree two by list ranking (pointer doubling along
-the chain), which leaves a graph that is at least a fixed fraction smaller, or a core in which every vertex has three or more
-neighbours. The core is contracted to its first neighbours in a fixed order, round by round, until it is so small (CORE arcs,
-a constant) that one task solves it by union and find. Every removed vertex remembers one vertex of its group that outlived
-it; the labels are restored in the opposite order of removal.
+the chain). A round that removes little has reached a core in which nearly every vertex has three or more neighbours: there
+each vertex joins its first neighbour in a fixed random order, which halves the core at least in expectation and leaves new
+vertices of degree one and two to peel. Rounds go on until no edge is left, on inputs of any size alike. Every removed vertex
+remembers one vertex of its group that outlived it; the labels are restored in the opposite order of removal.
 
 Vertices are (kind, name) in one string. No group is ever gathered: a hub with a third of all edges is a degree
 (a pre-aggregated count), and labels reach the vertices of hot hubs and groups by broadcast of that one row.
@@ -12,9 +12,8 @@ Vertices are (kind, name) in one string. No group is ever gathered: a hub with a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +21,8 @@ from loomgraph.runtime import HOT_FLOOR, cut, hot_keys, read, skew_join
 
 #: Doublings in one list ranking; longer chains go on in the next round.
 DOUBLINGS = 4
-#: Rounds end when one removes less than this part of the edges.
-LEAST_SHRINK = 0.1
-#: A peeled core of no more arcs than this is solved in one task (some 100 bytes an arc).
-CORE = 1_000_000
+#: A round of peeling that removes less than this part of the edges has reached a core.
+LEAST_SHRINK = 0.25
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -79,9 +76,10 @@ def compress_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one pointer per direction: at u, coming from `back`, the chain goes on to `to`
     ptr = inner.select("u", F.col("lo").alias("back"), F.col("hi").alias("to")).unionByName(inner.select("u", F.col("hi").alias("back"), F.col("lo").alias("to")))
     hop = ptr.select("u", "back", F.col("u").alias("last"), "to")
-    for _ in range(DOUBLINGS):
+    for i in range(DOUBLINGS):
         nxt = hop.select(F.col("u").alias("to"), F.col("back").alias("last"), F.col("last").alias("last2"), F.col("to").alias("to2"))
-        hop = cut(hop.join(nxt, ["to", "last"], "left").select("u", "back", F.coalesce("last2", "last").alias("last"), F.coalesce("to2", "to").alias("to")))
+        hop = hop.join(nxt, ["to", "last"], "left").select("u", "back", F.coalesce("last2", "last").alias("last"), F.coalesce("to2", "to").alias("to"))
+        hop = cut(hop) if i % 2 else hop
     ended = hop.join(inner.select(F.col("u").alias("to")), "to", "left_anti")
     whole = ended.groupBy("u").agg(F.count("*").alias("n"), F.min("to").alias("a"), F.max("to").alias("b")).filter("n = 2")
     removed = cut(whole.select("u", F.col("a").alias("to"), "b").join(inner, "u"))
@@ -105,63 +103,32 @@ def contract(arcs: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     return cut(_replace(arcs, best, rows)), best
 
 
-def solve_core(arcs: DataFrame) -> DataFrame:
-    """removed(u, to) of a core of at most CORE arcs, by union and find in one task; `to` is one vertex of the group."""
-    kind = arcs.schema["u"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict = {}
-
-        def find(x):
-            root = x
-            while parent[root] != root:
-                root = parent[root]
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
-
-        for f in frames:
-            for u, v in zip(f["u"], f["v"]):
-                parent.setdefault(u, u)
-                parent.setdefault(v, v)
-                a, b = find(u), find(v)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        found = [(x, find(x)) for x in parent]
-        yield pd.DataFrame([p for p in found if p[0] != p[1]], columns=["u", "to"])
-
-    return arcs.filter("u < v").coalesce(1).mapInPandas(run, f"u {kind}, to {kind}")
-
-
-def connected_components(edges: DataFrame, core: int = CORE) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u, v) of any comparable type -> (vertex, label): label is one vertex of the group, the same for all of it.
 
     Loops, repeats and direction do not matter; an edge with a null end says nothing; no edges, no rows.
     """
     arcs = cut(both_ways(edges.filter("u is not null and v is not null")))
-    all_arcs, stages, n = arcs, [], arcs.count()
+    nothing, stages, n = arcs.limit(0), [], arcs.count()
     while n:
         before = n
-        arcs, removed = strip_leaves(arcs)
-        stages.append((removed, before))
-        arcs, removed = compress_chains(arcs)
-        stages.append((removed, before))
-        n = arcs.count()
-        if n <= core or n > (1 - LEAST_SHRINK) * before:
-            break
-    while n > core:
-        arcs, removed = contract(arcs, n)
-        stages.append((removed, n))
+        for peel in (strip_leaves, compress_chains):
+            arcs, removed = peel(arcs)
+            stages.append((removed, before))
         n = arcs.count()
-    if n:
-        stages.append((cut(solve_core(arcs)), n))
-    gone = all_arcs.select(F.col("u").alias("u")).limit(0)
-    for removed, _ in stages:
-        gone = gone.unionByName(removed.select("u"))
-    labels = all_arcs.select("u").distinct().join(gone, "u", "left_anti").select(F.col("u").alias("vertex"), F.col("u").alias("label"))
+        if n > (1 - LEAST_SHRINK) * before:
+            arcs, removed = contract(arcs, n)
+            stages.append((removed, n))
+            n = arcs.count()
+    if not stages:
+        return nothing.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
+    # the last vertex of a group is one that others gave way to and that never gave way
+    gone = cut(reduce(DataFrame.unionByName, [removed.select("u", "to") for removed, _ in stages]))
+    labels = gone.select(F.col("to").alias("vertex")).distinct().join(gone.select(F.col("u").alias("vertex")), "vertex", "left_anti").withColumn("label", F.col("vertex"))
+    labels = cut(labels)
     for removed, rows in reversed(stages):
         back = skew_join(removed, labels.select(F.col("vertex").alias("to"), "label"), "to", _hot(removed, "to", rows))
-        labels = cut(labels.unionByName(back.select(F.col("u").alias("vertex"), "label")))
+        labels = labels.unionByName(cut(back.select(F.col("u").alias("vertex"), "label")))
     return labels
 
 

@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from loomgraph.llm.components import connected_components, name_links, with_smallest
 
 
@@ -32,11 +30,10 @@ def cases():
     return chain + ring + star + clique + dense + sparse + [(None, 1), (5, None), (7, 7), (61, 60)] + chain[:5]
 
 
-@pytest.mark.parametrize("core", [0, 1_000_000])
-def test_against_union_find(spark, core):
+def test_against_union_find(spark):
     edges = cases()
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r.vertex: r.root for r in with_smallest(connected_components(df, core=core), hot=[]).collect()}
+    got = {r.vertex: r.root for r in with_smallest(connected_components(df), hot=[]).collect()}
     assert got == brute(edges)
 
 
