@@ -4,7 +4,8 @@ Each comparison is a spring of rest length one that pulls the winner one unit ab
 length zero. The energy, plus alpha/2 * strength^2 per item (a weak spring to zero, which makes the system regular and keeps
 rarely compared items near the middle), is least where (D + alpha I - W) s = wins - losses. It is solved by conjugate
 gradients with the Jacobi preconditioner, in the form with one reduction per iteration: each iteration is one sparse product
-(a join and a pre-aggregated sum) and one global sum of two numbers. Vectors are DataFrames, checkpointed every iteration.
+(a join and a pre-aggregated sum) and one global sum of two numbers. Springs and vectors are written tables in buckets of the
+same hash of the item, so an iteration shuffles nothing but the partial sums of the product.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut, global_rank, hot_keys, read, skew_join
+from loomgraph.runtime import Buckets, cut, global_rank, hot_keys, read
 
 #: Weight of the spring to zero, in comparisons.
 ALPHA = 1.0
-#: Relative residual at which the solution counts as found, and the most iterations.
+#: Relative residual at which the solution counts as found.
 TOLERANCE = 1e-4
-MOST = 60
+#: Iterations after which the system counts as unsolvable, which is an error.
+MOST = 1000
 
 
 def judgments(outcomes: DataFrame) -> DataFrame:
@@ -39,37 +41,45 @@ def spring_rank(items: DataFrame, comparisons: DataFrame, alpha: float = ALPHA,
     """items(id), comparisons(a, b, won) -> (id, strength, comparisons) for every distinct non-null item.
 
     Comparisons with ids that are no items are left out. An item without comparisons has strength 0. No comparisons at all:
-    all strengths are 0.
+    all strengths are 0. Raises an error if `most` iterations do not reach the tolerance.
     """
     ids = items.filter("id is not null").select("id").distinct()
     known = comparisons.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     pairs = known.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("won").alias("w"))
     both = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), "n", "w").unionByName(pairs.select(F.col("b").alias("i"), F.col("a").alias("j"), "n", (-F.col("w")).alias("w")))
     both = cut(both.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("w").alias("w")))
-    springs = both.select("i", "j", "n")
-    hot = hot_keys(springs, "j") if hot is None else hot
+    hot = hot_keys(both, "j") if hot is None else hot
     diag = both.groupBy(F.col("i").alias("id")).agg(F.sum("n").alias("deg"), F.sum("w").alias("b"))
     zero = F.lit(0.0)
     state = ids.join(diag, "id", "left").select("id", F.coalesce(F.col("deg"), F.lit(0)).alias("deg"), (F.coalesce(F.col("deg"), F.lit(0)) + F.lit(float(alpha))).alias("d"), F.coalesce(F.col("b"), F.lit(0)).cast("double").alias("r"), zero.alias("s"), zero.alias("p"), zero.alias("q"))
-    state = cut(state)
-    gamma0 = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
-    if gamma0 == 0.0:
-        return state.select("id", F.col("s").alias("strength"), F.col("deg").alias("comparisons"))
-    gamma_old, step_old = None, None
-    for _ in range(most):
-        z = F.col("r") / F.col("d")
-        around = skew_join(springs, state.select(F.col("id").alias("j"), z.alias("z")), "j", hot)
-        pull = around.groupBy(F.col("i").alias("id")).agg(F.sum(F.col("n") * F.col("z")).alias("pull"))
-        here = cut(state.join(pull, "id", "left").withColumn("z", z).withColumn("az", F.col("d") * F.col("z") - F.coalesce(F.col("pull"), zero)).drop("pull"))
-        gamma, delta = here.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("az") * F.col("z"))).first()
-        if gamma <= tolerance**2 * gamma0:
-            break
-        beta = 0.0 if gamma_old is None else gamma / gamma_old
-        step = gamma / (delta - (0.0 if step_old is None else beta * gamma / step_old))
-        p, q = F.col("z") + beta * F.col("p"), F.col("az") + beta * F.col("q")
-        state = here.select("id", "deg", "d", (F.col("r") - step * q).alias("r"), (F.col("s") + step * p).alias("s"), p.alias("p"), q.alias("q"))
-        gamma_old, step_old = gamma, step
-    return state.select("id", F.col("s").alias("strength"), F.col("deg").alias("comparisons"))
+    is_hot = F.coalesce(F.col("j").isin(hot), F.lit(False)) if hot else F.lit(False)
+    with Buckets(both.sparkSession) as buckets:
+        # springs of hot items meet the one row of each by broadcast, the others their bucket
+        cold, warm = buckets.write(both.filter(~is_hot).select("i", "j", "n"), "j"), both.filter(is_hot).select("i", "j", "n")
+        state = buckets.write(state, "id")
+        gamma0 = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+        gamma_old, step_old, gamma = None, None, gamma0
+        for k in range(most + 1):
+            if k == most:
+                raise RuntimeError(f"not converged after {most} iterations: residual {(gamma / gamma0) ** 0.5:.2g}")
+            if gamma0 == 0.0:
+                break
+            z = F.col("r") / F.col("d")
+            there = state.select(F.col("id").alias("j"), z.alias("z"))
+            around = cold.join(there, "j")
+            if hot:
+                around = around.unionByName(warm.join(F.broadcast(there.filter(is_hot)), "j"))
+            pull = around.groupBy(F.col("i").alias("id")).agg(F.sum(F.col("n") * F.col("z")).alias("pull"))
+            here = buckets.write(state.join(pull, "id", "left").withColumn("z", z).withColumn("az", F.col("d") * F.col("z") - F.coalesce(F.col("pull"), zero)).drop("pull"), "id")
+            gamma, delta = here.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("az") * F.col("z"))).first()
+            if gamma <= tolerance**2 * gamma0:
+                break
+            beta = 0.0 if gamma_old is None else gamma / gamma_old
+            step = gamma / (delta - (0.0 if step_old is None else beta * gamma / step_old))
+            p, q = F.col("z") + beta * F.col("p"), F.col("az") + beta * F.col("q")
+            state = here.select("id", "deg", "d", (F.col("r") - step * q).alias("r"), (F.col("s") + step * p).alias("s"), p.alias("p"), q.alias("q"))
+            gamma_old, step_old = gamma, step
+        return cut(state.select("id", F.col("s").alias("strength"), F.col("deg").alias("comparisons")))
 
 
 def items_of(spark: SparkSession, d: str) -> DataFrame:

@@ -43,3 +43,10 @@ def test_judgments(spark):
 def test_nothing_compared(spark):
     got = spring_rank(spark.createDataFrame([("x",), ("y",)], "id string"), spark.createDataFrame([], "a string, b string, won int"))
     assert sorted(tuple(r) for r in got.collect()) == [("x", 0.0, 0), ("y", 0.0, 0)]
+
+
+def test_no_silent_end(spark):
+    games = spark.createDataFrame([(f"i{k}", f"i{k + 1}", 1) for k in range(30)], "a string, b string, won int")
+    items = spark.createDataFrame([(f"i{k}",) for k in range(31)], "id string")
+    with pytest.raises(RuntimeError, match="not converged"):
+        spring_rank(items, games, alpha=0.001, most=2, hot=[])
