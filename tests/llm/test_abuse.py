@@ -1,6 +1,6 @@
 import pytest
 
-from loomgraph.llm.abuse import THRESHOLD, automaton, fold, score, weigh
+from loomgraph.llm.abuse import LOOKALIKES, THRESHOLD, automaton, fold, score, weigh
 
 CASES = [
     "Piss off, nobody asked you.", "what an іdіоt", "You are such a m*r*n!", "G.A.R.B.A.G.E like this, you stupid clown, from a worthless loser", "d​u​m​b and stupid", "ARSCHLOCH!!!",
@@ -45,3 +45,26 @@ def test_topic_words_excuse_nothing(lexicon, text):
 @pytest.mark.parametrize("text", ["We count mentions of idiot or moron.", "Comments flagged as stupid garbage were kept."])
 def test_words_near_a_mention_do_not_count(lexicon, text):
     assert weigh(text, lexicon)[0] < THRESHOLD
+
+
+LATIN = {c: latin for latin, cs in LOOKALIKES.items() for c in cs}
+
+
+@pytest.mark.parametrize("letter", sorted(LATIN))
+def test_each_lookalike_by_itself(letter):
+    assert fold(f"x{letter}z").split() == [f"x{LATIN[letter]}z"] and sum(letter in cs for cs in LOOKALIKES.values()) == 1
+
+
+@pytest.mark.parametrize("text", ["idiοt", "αsshole", "аsshole", "ⅿoron", "1d10t", "assho1e", "m*r*n", "mo**n", "fuuuuck", "assssshole", "i.d.i.o.t", "m o r o n", "id\u00adiot", "ídïót", "ＩＤＩＯＴ"])
+def test_disguises(lexicon, text):
+    assert weigh(f"What an {text}.", lexicon)[0] >= THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["The houses of the city.", "They share a room with us.", "Tools for real humans.", "We never hire.", "The socks, they stink.", "Flowers go die.", "Your code is garbage and the proof is useless."])
+def test_fragments_alone_are_no_cases(lexicon, text):
+    assert weigh(text, lexicon)[0] < THRESHOLD
+
+
+def test_long_runs_take_linear_time(lexicon):
+    for text in ("a" * 300_000, "a1" * 150_000, "*" * 300_000, "a!" * 150_000, "a." * 150_000, "'" * 300_000):
+        assert weigh(text, lexicon)[0] < THRESHOLD
