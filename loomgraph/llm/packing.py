@@ -2,15 +2,16 @@
 
 Sizes are integers up to the largest capacity, so the whole corpus is described by one histogram of bounded length. Best fit
 in decreasing order of size is run on that histogram, with classes of equal items and of equally filled bins in place of
-single ones: a class takes the tightest open bins it fits in, and when none is left it opens bins of the permitted length
-that costs least per token that can still fill it. At the end each bin is downsized to the least permitted length that holds
-its contents. The plan (which ranks of which size go to which bins) is small; the items look their bin up by their size and
+single ones: a class takes the tightest open bins it fits in, and when none is left it opens bins. All permitted lengths are
+tried at each opening: the remaining histogram is let into one bin of that length, largest sizes first, and the length whose
+bin, downsized to its contents, costs least per token is opened. At the end each bin is downsized to the least permitted
+length that holds its contents. The same is planned with each length alone, and the plan of least cost is carried out. The plan (which ranks of which size go to which bins) is small; the items look their bin up by their size and
 their rank within it, which is counted in salted parts, so no size class is ever in one task.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,13 +20,25 @@ from loomgraph.llm.tokenize import VOCABULARY, encode
 from loomgraph.runtime import cut, read
 
 #: Permitted container lengths in tokens; nothing is longer than the largest.
-LENGTHS = (512, 1024, 2048)
+LENGTHS = tuple(range(256, 2049, 256))
 #: Tokens that a container costs besides its length.
 OVERHEAD = 16
 
 
+def cost(bins: list[tuple], overhead: int = OVERHEAD) -> int:
+    """Tokens that the bins of a plan cost, room and overhead included."""
+    return sum(n * (length + overhead) for _, n, length, _ in bins)
+
+
 def plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[tuple], list[tuple]]:
-    """histogram: size -> items -> (segments, bins).
+    """The cheapest of the joint plan and those that open one length only (see fill_bins for what they hold)."""
+    largest = max(histogram, default=0)
+    plans = [fill_bins(histogram, lengths, overhead)] + [fill_bins(histogram, lengths, overhead, only=x) for x in lengths if x >= largest]
+    return min(plans, key=lambda p: cost(p[1], overhead))
+
+
+def fill_bins(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, only: int | None = None) -> tuple[list[tuple], list[tuple]]:
+    """histogram: size -> items -> (segments, bins). only: the one length that bins are opened with.
 
     segments: (size, lo, hi, first_bin, per): of the items of that size those ranked lo..hi-1 (from 0) go `per` to a bin,
     from first_bin on. bins: (first_bin, count, length, used) of equally filled bins.
@@ -47,14 +60,31 @@ def plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, overhead
                 groups[at] = [k, length, used + more * size]
                 insort(free, (length - used - more * size, at))
 
-    for size in sorted(histogram, reverse=True):
+    sizes = sorted(histogram)
+
+    def filled(length: int, at: int, left: int) -> int:
+        """Tokens that one bin of this length holds, if the largest remaining sizes that fit are let in first."""
+        room, n = length, left
+        while True:
+            room -= sizes[at] * min(n, room // sizes[at])
+            at = bisect_right(sizes, room, 0, at) - 1
+            if at < 0:
+                return length - room
+            n = histogram[sizes[at]]
+
+    def per_token(length: int, at: int, left: int) -> tuple[float, int]:
+        used = filled(length, at, left)
+        return (next(x for x in lengths if x >= used) + overhead) / used, -length
+
+    for at in range(len(sizes) - 1, -1, -1):
+        size = sizes[at]
         left, lo = histogram[size], 0
         while left:
             i = bisect_left(free, (size, -1))
             if i < len(free):
                 room, first = free.pop(i)
             else:
-                length = min((x for x in lengths if x >= size), key=lambda x: ((x + overhead) / min(x, max(volume, size)), -x))
+                length = only or min((x for x in lengths if x >= size), key=lambda x: per_token(x, at, left))
                 first, count = bins, -(-left // (length // size))
                 if volume < length * count:
                     count = min(count, max(1, volume // length))
@@ -91,7 +121,7 @@ def pack(items: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = O
     if not sizes:
         return empty
     segments, bins = plan(sizes, lengths, overhead)
-    salts = salts or max(8, min(4096, sum(sizes.values()) // 1_000_000))
+    salts = salts or max(8, sum(sizes.values()) // 1_000_000)
     salted = pieces.filter("size > 0").withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("size", "salt").count().select("size", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("off"))
@@ -130,5 +160,18 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), (F.sum("capacity") - F.sum("used")).alias("unused"))
 
 
-QUERIES = {"p9_packed": p9_packed, "p9_fill": p9_fill}
+def p9_policies(spark: SparkSession, d: str) -> DataFrame:
+    """What the joint choice of lengths gains: containers, capacity and unused tokens by policy, with every length alone beside it."""
+    pieces = split_long(document_sizes(spark, d).select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens")), max(LENGTHS))
+    sizes = {r["size"]: r["count"] for r in pieces.filter("size > 0").groupBy("size").count().collect()}
+    largest, volume = max(sizes, default=0), sum(s * n for s, n in sizes.items())
+    rows = []
+    for policy, only in [("joint", None), *((f"only {x}", x) for x in LENGTHS if x >= largest)]:
+        bins = fill_bins(sizes, only=only)[1]
+        capacity = sum(n * length for _, n, length, _ in bins)
+        rows.append((policy, sum(n for _, n, _, _ in bins), capacity, capacity - volume, cost(bins)))
+    return spark.createDataFrame(rows, "policy string, containers long, capacity long, unused long, cost long")
+
+
+QUERIES = {"p9_packed": p9_packed, "p9_fill": p9_fill, "p9_policies": p9_policies}
 SQL: dict[str, str] = {}

@@ -1,6 +1,6 @@
 import random
 
-from loomgraph.llm.packing import LENGTHS, pack, plan
+from loomgraph.llm.packing import LENGTHS, cost, fill_bins, pack, plan
 
 
 def check(sizes, segments, bins, lengths):
@@ -52,3 +52,21 @@ def test_one_size_for_all_and_none(spark):
     same = spark.range(1000).selectExpr("id as doc_id", "512L as tokens")
     assert pack(same).select("container_id").distinct().count() == 250
     assert pack(same.limit(0)).count() == 0
+
+
+def test_lengths_are_chosen_together():
+    sizes = {700: 40_000, 800: 35_000, 900: 25_000}
+    segments, bins = plan(sizes)
+    assert check(sizes, segments, bins, LENGTHS) > 0.9
+    only = fill_bins(sizes, only=2048)[1]
+    assert cost(bins) <= min(cost(fill_bins(sizes, only=x)[1]) for x in LENGTHS if x >= 900) <= cost(only)
+    assert sum(n * c for _, n, c, _ in fill_bins(sizes, lengths=(2048,))[1]) > 1.2 * sum(n * c for _, n, c, _ in bins)
+
+
+def test_the_joint_plan_is_never_dearer():
+    rnd = random.Random(5)
+    for _ in range(30):
+        sizes = {rnd.randint(1, 2048): rnd.randint(1, 500) for _ in range(rnd.randint(1, 40))}
+        segments, bins = plan(sizes)
+        check(sizes, segments, bins, LENGTHS)
+        assert all(cost(bins) <= cost(fill_bins(sizes, only=x)[1]) for x in LENGTHS if x >= max(sizes))
