@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.canonical import is_blank, pair_key
 from loomgraph.operators.orphans import sql_key, sql_not_blank
-from loomgraph.runtime import HOT_FLOOR, HOT_SHARE, read, skew_join, workspace
+from loomgraph.runtime import HOT_FLOOR, HOT_SHARE, cut, read, remove, skew_join, workspace
 
 ROWS = "bucket int, key string, copies long, keep_id long"
 
@@ -76,6 +76,17 @@ class CanonicalLedger:
         self.at = self.at | {b: version for b in written}
         self.version = version
         self.spark.createDataFrame(sorted(self.at.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v{version}")
+        remove(self.spark, f"{self.path}/batch{version}")
+
+    def vacuum(self) -> None:
+        """Deletes the versions that no bucket of the last manifest is in, and the manifests before it. Not while a frame of an
+        earlier state is still to be read."""
+        live = set(self.at.values())
+        for v in range(1, self.version + 1):
+            if v not in live:
+                remove(self.spark, f"{self.path}/v{v}")
+            if v < self.version:
+                remove(self.spark, f"{self.path}/manifest/v{v}")
 
 
 def entity_keys(entities: DataFrame) -> DataFrame:
@@ -91,6 +102,7 @@ def in_batches(rows: DataFrame, ledger: CanonicalLedger, batches: int) -> Canoni
     step = (high - low) // batches + 1
     for i in range(batches):
         ledger.update(rows.filter(F.col("id").between(low + i * step, low + (i + 1) * step - 1)))
+    ledger.vacuum()
     return ledger
 
 
@@ -107,11 +119,10 @@ def duplicates(rows: DataFrame, ledger: CanonicalLedger, share: int = HOT_SHARE,
     return skew_join(rows, several.select("key", "keep_id"), "key", hot).filter("id <> keep_id").select("keep_id", F.col("id").alias("dup_id"))
 
 
-def p1_ledger(spark: SparkSession, d: str) -> CanonicalLedger:
-    """Three batches, into buckets of some two million keys at most."""
-    entities = read(spark, d, "entities")
-    buckets = max(12, entities.count() // 2_000_000)
-    return in_batches(entity_keys(entities), CanonicalLedger(spark, workspace(spark, "ledger"), buckets), 3)
+def p1_ledger(spark: SparkSession, d: str) -> tuple[DataFrame, CanonicalLedger]:
+    """The keyed rows, derived once, and the ledger filled with them in three batches, in buckets of some two million keys at most."""
+    rows = cut(entity_keys(read(spark, d, "entities")))
+    return rows, in_batches(rows, CanonicalLedger(spark, workspace(spark, "ledger"), max(12, rows.count() // 2_000_000)), 3)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,12 +131,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     Names of white space and invisible characters only are blank and take no part; names of punctuation only are equal to each
     other. Equal rows are copies. An empty table gives an empty result.
     """
-    return duplicates(entity_keys(read(spark, d, "entities")), p1_ledger(spark, d))
+    return duplicates(*p1_ledger(spark, d))
 
 
 def p1_copies(spark: SparkSession, d: str) -> DataFrame:
     """One row per distinct entity: its representative and its number of copies."""
-    return p1_ledger(spark, d).rows().select("keep_id", "copies")
+    return p1_ledger(spark, d)[1].rows().select("keep_id", "copies")
 
 
 _KEYED = f"WITH k AS (SELECT entity_id, {sql_key('name', 'type')} AS k FROM entities WHERE {sql_not_blank('name')}), m AS (SELECT k, min(entity_id) AS keep_id, count(*) AS copies FROM k GROUP BY k) "
