@@ -1,7 +1,7 @@
 """Mapping free-entered values to a canonical list: token-level repair, then soft TF-IDF over complete entries.
 
-1. Equal values are mapped once. A value is split into tokens (case changes, signs and white space separate; remarks around it
-   are dropped); run-together values and initials are tokens too.
+1. Equal values are mapped once. A value is read in parts, where semicolons separate them, and as a whole: the first reading
+   that means an entry counts. It is split into tokens (case changes, signs and white space separate; remarks are dropped); run-together values and initials are tokens too.
 2. Every distinct token is joined to the vocabulary of the reference list (words of terms and glosses, terms run together,
    initials) by edit distance: both sides emit their deletion neighbourhoods, equal neighbours meet, and the pairs are
    verified by restricted edit distance (with transpositions). Abbreviations join by their prefixes.
@@ -27,14 +27,12 @@ from loomgraph.runtime import HOT_SHARE, cut, hot_keys, read, skew_join
 
 #: Entries that the reference list may have at most: its tables are broadcast.
 MOST_ENTRIES = 20_000
-#: Letters of a token that is compared by edit distance; longer ones only match exactly.
-LONGEST = 40
 #: Least share of the value's weight that an entry must explain, and least share of the entry that must be named.
 EXPLAINED, NAMED = 0.62, 0.2
 #: Likeness of an abbreviation to its word.
 ABBREVIATED = 0.85
-#: Remarks around a value, in order: bracketed notes, references, numbering, prefixes, hedges.
-REMARKS = [r"\([^)]*\)", r";.*$", r"^\s*\d+\s*[).:]\s+", r"^\s*[a-z]{2,4}:\s*", r"\b(probably|mainly|mostly|likely|possibly|perhaps|maybe|roughly|approx|cf|e\.g\.|i\.e\.)(?![a-z])"]
+#: Remarks around a value, in order: bracketed notes, numbering, prefixes, hedges.
+REMARKS = [r"\([^)]*\)", r"^\s*\d+\s*[).:]\s+", r"^\s*[a-z]{2,4}:\s*", r"\b(probably|mainly|mostly|likely|possibly|perhaps|maybe|roughly|approx|cf|e\.g\.|i\.e\.)(?![a-z])"]
 
 
 def plain(c: Column) -> Column:
@@ -48,6 +46,12 @@ def plain(c: Column) -> Column:
     return F.when(words(bare) == "", words(low)).otherwise(words(bare))
 
 
+def readings(c: Column) -> Column:
+    """What of a value is mapped, in order of preference: each part between semicolons, then the whole."""
+    parts = F.transform(F.split(c, ";"), plain)
+    return F.array_distinct(F.filter(F.concat(parts, F.array(plain(c))), lambda x: x != ""))
+
+
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
@@ -116,8 +120,8 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
-def repaired(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """Distinct tokens(field, token) joined to words(field, word, kind) -> (field, token, word, kind, like)."""
+def repaired(tokens: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+    """Distinct tokens(field, token) joined to words(field, word, kind), of `longest` letters at most, -> (field, token, word, kind, like)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,17 +134,16 @@ def repaired(tokens: DataFrame, words: DataFrame) -> DataFrame:
             cols = list(zip(*out)) if out else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols[:4]] + [pa.array(cols[4], pa.float64())], ["field", "token", "word", "kind", "like"])
 
-    short = tokens.filter(F.length("token") <= LONGEST)
-    near_t = short.select("field", "token", F.explode(deletions(F.col("token"), edits_allowed(F.length("token")))).alias("near"))
+    # a token that is longer than any word by more than its edits is like none
+    near_t = tokens.filter(F.length("token") <= longest + 2).select("field", "token", F.explode(deletions(F.col("token"), edits_allowed(F.length("token")))).alias("near"))
     near_w = words.select("field", "word", "kind", F.explode(deletions(F.col("word"), F.when(F.col("kind") == "initials", 0).otherwise(edits_allowed(F.length("word"))))).alias("near"))
     pairs = near_t.join(F.broadcast(near_w), ["field", "near"]).select("field", "token", "word", "kind").distinct()
     edited = pairs.mapInArrow(verify, "field string, token string, word string, kind string, like double")
-    exact = tokens.filter(F.length("token") > LONGEST).join(F.broadcast(words.withColumnRenamed("word", "token")), ["field", "token"]).select("field", "token", F.col("token").alias("word"), "kind", F.lit(1.0).alias("like"))
     stems = words.filter("kind = 'word' and length(word) > 3").select("field", "word", F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("n")).select("field", "word", F.substring("word", F.lit(1), F.col("n")).alias("token"))
     cut_off = tokens.join(F.broadcast(stems), ["field", "token"]).select("field", "token", "word", F.lit("word").alias("kind"), F.lit(ABBREVIATED).alias("like"))
     plural = words.filter("kind = 'word' and length(word) > 4").select("field", "word", F.concat("word", F.lit("s")).alias("token"))
     plurals = tokens.join(F.broadcast(plural), ["field", "token"]).select("field", "token", "word", F.lit("word").alias("kind"), F.lit(0.97).alias("like"))
-    return edited.unionByName(exact).unionByName(cut_off).unionByName(plurals)
+    return edited.unionByName(cut_off).unionByName(plurals)
 
 
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
@@ -158,16 +161,17 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     asked = values.filter(~is_blank(F.col("value")) & F.col("field").isNotNull()).join(F.broadcast(exact), ["field", "value"], "left_anti")
     vocab = spark.createDataFrame(rows, "field string, word string, kind string, entry string, term_id int, weight double, total double")
     words = vocab.select("field", "word", "kind").distinct()
-    distinct = asked.groupBy("field", "value").count().select("field", "value", plain(F.col("value")).alias("plain"))
-    texts = cut(distinct)
+    longest = max((len(r[1]) for r in rows), default=0)
+    distinct = asked.select("field", "value").distinct()
+    texts = cut(distinct.select("field", "value", F.posexplode_outer(readings(F.col("value"))).alias("rank", "plain")).fillna("", ["plain"]).fillna(0, ["rank"]))
     split = texts.select("field", "plain").distinct().select("field", "plain", F.array_distinct(F.filter(F.split("plain", " "), lambda w: w != "")).alias("words"))
     whole = F.regexp_replace("plain", " ", "")
-    wholes = F.when((F.size("words") > 1) & (F.length(whole) <= LONGEST), F.array(whole)).otherwise(F.array())
+    wholes = F.when((F.size("words") > 1) & (F.length(whole) <= longest), F.array(whole)).otherwise(F.array())
     said = split.select("field", "plain", "words", F.concat(F.transform("words", lambda w: F.struct(w.alias("token"), F.lit(False).alias("joined"))), F.transform(wholes, lambda w: F.struct(w.alias("token"), F.lit(True).alias("joined")))).alias("all"))
     said = cut(said.select("field", "plain", F.inline("all")))
     # tokens of several words run together only meet whole terms and initials, exactly; single tokens meet everything by edit distance
     tokens = said.filter("not joined").select("field", "token").distinct()
-    fixed = repaired(tokens, words).groupBy("field", "token", "word", "kind").agg(F.max("like").alias("like"))
+    fixed = repaired(tokens, words, longest).groupBy("field", "token", "word", "kind").agg(F.max("like").alias("like"))
     meant = fixed.join(F.broadcast(vocab), ["field", "word", "kind"]).groupBy("field", "token", "entry", "term_id", "total").agg(F.max(F.struct("like", "weight", "kind")).alias("b"))
     per_token = cut(meant.groupBy("field", "token").agg(F.collect_list(F.struct("entry", "term_id", "total", "b.like", "b.weight", "b.kind")).alias("found")))
     joined = said.filter("joined").join(F.broadcast(vocab.filter("kind <> 'word'").withColumnRenamed("word", "token")), ["field", "token"]).select("field", "plain", "entry", "term_id", "total", "kind")
@@ -193,10 +197,11 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     # what is left may be a term with its breaks misplaced: run together, it meets the terms run together by edit distance
     rest = split.join(chosen, ["field", "plain"], "left_anti").select("field", "plain", whole.alias("token")).filter("token <> ''")
     ends = words.filter("kind = 'whole' and length(word) > 5")
-    late = repaired(rest.select("field", "token").distinct(), ends).join(F.broadcast(vocab), ["field", "word", "kind"]).groupBy("field", "token").agg(F.max(F.struct("like", (-F.col("term_id")).alias("t"))).alias("m"))
+    late = repaired(rest.select("field", "token").distinct(), ends, longest).join(F.broadcast(vocab), ["field", "word", "kind"]).groupBy("field", "token").agg(F.max(F.struct("like", (-F.col("term_id")).alias("t"))).alias("m"))
     late = rest.join(late, ["field", "token"]).select("field", "plain", (-F.col("m.t")).alias("term_id"))
     chosen = chosen.unionByName(late)
-    mapped = texts.join(chosen, ["field", "plain"], "left").select(F.concat_ws("\u0001", "field", "value").alias("k"), F.coalesce("term_id", F.lit(0)).cast("int").alias("term_id"))
+    first = texts.join(chosen, ["field", "plain"], "left").groupBy("field", "value").agg(F.min(F.when(F.col("term_id").isNotNull(), F.struct("rank", "term_id"))).alias("m"))
+    mapped = first.select(F.concat_ws("\u0001", "field", "value").alias("k"), F.coalesce("m.term_id", F.lit(0)).cast("int").alias("term_id"))
     final = asked.withColumn("k", F.concat_ws("\u0001", "field", "value"))
     return skew_join(final, mapped, "k", hot_keys(final, "k", HOT_SHARE)).select("field", "row_id", "value", "term_id")
 

@@ -19,6 +19,13 @@ def test_repairs(spark):
     assert map_values(values.limit(0), terms).count() == 0
 
 
+def test_parts_between_semicolons_and_long_tokens(spark):
+    want = {"over smoothing; see sec. 3": 3, "see sec. 3; superlinear memory growth": 1, "coffee; tea": 0, ";;": 0, "x" * 5000 + "; vanishing eror signal": 2, "superlinearmemorygrowth" + "y" * 60: 0}
+    values = spark.createDataFrame([("b", i, v) for i, v in enumerate(want)], "field string, row_id long, value string")
+    terms = spark.createDataFrame(TERMS, "term_id int, field string, term string, gloss string")
+    assert {r.value: r.term_id for r in map_values(values, terms).collect()} == want
+
+
 @pytest.mark.parametrize("a,b,d", [("uses", "uss", 1), ("ab", "ba", 1), ("abc", "abc", 0), ("kitten", "sitting", 3), ("", "ab", 2)])
 def test_edit_distance(a, b, d):
     assert edit_distance(a, b, 3) == d and edit_distance(a, b, max(0, d - 1)) == d
