@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.graph import G, NULL_CONFIDENCE, NULL_SIGNIFICANCE, edge_type_dim, linked_edges, nodes, undirected
-from loomgraph.runtime import cut
+from loomgraph.runtime import Buckets, cut
 
 DECAY, WAVE_STEPS, WAVE_MOST_STEPS, WAVE_FAN, WAVE_LEAST = 0.7, 5, 10, 50, 0.01
 WALK_DEPTH, WALK_LEAST, BONUS, LOW_DEGREE = 4, 0.05, 1.5, 5
 ALPHA, PPR_ROUNDS = 0.15, 50
-#: What the SQL of activation_wave, wave_step_topk and ppr is unrolled to; the queries of the whole job are *_full.
-SQL_STEPS, SQL_ROUNDS = 3, 8
+#: Rounds of PageRank between two cuts of lineage.
+PPR_CUT = 5
 
 
 def _or_half(c: str, half: float):
@@ -75,16 +75,26 @@ def best_path_activation(adjacency: DataFrame, seed: DataFrame, depth: int = WAL
 
 
 def ppr(arcs: DataFrame, n: DataFrame, seed: DataFrame, alpha: float = ALPHA, rounds: int = PPR_ROUNDS) -> DataFrame:
-    """Personalised PageRank (node_id, score): arcs(node_id, other_id) may repeat; mass without out-edges returns to the seed."""
+    """Personalised PageRank (node_id, score): arcs(node_id, other_id) may repeat; mass without out-edges returns to the seed.
+
+    Nodes without out-edges get arcs to the seeds, so a round is one join and one sum, without a look at the rest; only reached
+    nodes are in the state, n gives the others their 0. The shares are in buckets by node: a round shuffles what is passed on."""
+    seeds = cut(seed.select("node_id").distinct())
+    k = max(1, seeds.count())
     out = arcs.groupBy("node_id").agg(F.count("*").alias("deg"))
-    share = cut(arcs.groupBy("node_id", "other_id").agg(F.count("*").alias("m")).join(out, "node_id").select("node_id", "other_id", (F.col("m") / F.col("deg")).alias("share")))
-    ids = n.select("node_id").join(out, "node_id", "left").join(F.broadcast(seed.withColumn("s", F.lit(1.0))), "node_id", "left")
-    state = cut(ids.select("node_id", F.col("deg").isNull().alias("dangling"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("s", F.lit(0.0)).alias("score")))
-    for _ in range(rounds):
-        lost = state.filter("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost")).first()[0]
-        got = state.filter("score > 0").join(share, "node_id").groupBy(F.col("other_id").alias("node_id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        state = cut(state.join(got, "node_id", "left").select("node_id", "dangling", "s", (F.lit(1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("s")) + F.lit(alpha) * F.col("s")).alias("score")))
-    return state.select("node_id", "score")
+    share = arcs.groupBy("node_id", "other_id").agg(F.count("*").alias("m")).join(out, "node_id").select("node_id", "other_id", (F.col("m") / F.col("deg")).alias("share"))
+    ends = arcs.select(F.col("other_id").alias("node_id")).unionByName(seeds).distinct().join(out, "node_id", "left_anti")
+    one = F.lit(1).alias("one")
+    back = ends.select("node_id", one).join(F.broadcast(seeds.select(F.col("node_id").alias("other_id"), one)), "one").select("node_id", "other_id", F.lit(1.0 / k).alias("share"))
+    with Buckets(arcs.sparkSession) as buckets:
+        share = buckets.write(share.unionByName(back), "node_id")
+        state = seeds.withColumn("score", F.lit(1.0 / k))
+        jump = seeds.withColumn("score", F.lit(alpha / k))
+        for i in range(1, rounds + 1):
+            passed = state.join(share, "node_id").select(F.col("other_id").alias("node_id"), (F.lit(1 - alpha) * F.col("score") * F.col("share")).alias("score"))
+            state = passed.unionByName(jump).groupBy("node_id").agg(F.sum("score").alias("score"))
+            state = cut(state) if i % PPR_CUT == 0 or i == rounds else state
+    return n.select("node_id").join(state, "node_id", "left").select("node_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def two_hop_proxy(arcs: DataFrame, seed: DataFrame) -> DataFrame:
@@ -135,23 +145,13 @@ def _wave_top(wave: DataFrame) -> DataFrame:
 
 
 def q_wave(spark: SparkSession, d: str) -> DataFrame:
-    """The first SQL_STEPS steps only, as in its SQL."""
-    return _wave(spark, d, SQL_STEPS)
+    return _wave(spark, d, WAVE_STEPS)
 
 
 def q_wave_top(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first SQL_STEPS steps only, as in its SQL."""
     return _wave_top(q_wave(spark, d))
 
 
-def q_wave_full(spark: SparkSession, d: str) -> DataFrame:
-    return _wave(spark, d, WAVE_STEPS)
-
-
-def q_wave_top_full(spark: SparkSession, d: str) -> DataFrame:
-    return _wave_top(q_wave_full(spark, d))
-
-
 def q_best_path(spark: SparkSession, d: str) -> DataFrame:
     e, n, s = _input(spark, d)
     return best_path_activation(walk_adjacency(both_directions(e), n), s).select("node_id", F.round("score", 6).alias("score"), "depth")
@@ -168,15 +168,28 @@ def _ppr(spark: SparkSession, d: str, rounds: int) -> DataFrame:
 
 
 def q_ppr(spark: SparkSession, d: str) -> DataFrame:
-    """The first SQL_ROUNDS rounds only, as in its SQL."""
-    return _ppr(spark, d, SQL_ROUNDS).select("node_id", F.round("score", 6).alias("score"))
+    """All PPR_ROUNDS rounds."""
+    return _ppr(spark, d, PPR_ROUNDS).select("node_id", F.round("score", 6).alias("score"))
 
 
 def q_ppr_full(spark: SparkSession, d: str) -> DataFrame:
-    """All PPR_ROUNDS rounds; scores unrounded, since far nodes have small ones."""
+    """Unrounded, since far nodes have small scores."""
     return _ppr(spark, d, PPR_ROUNDS)
 
 
+def q_ppr_top(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    """The k best but for the seed."""
+    e, n, s = _input(spark, d)
+    arcs = both_directions(e).select(F.col("src_id").alias("node_id"), F.col("dst_id").alias("other_id"))
+    best = ppr(arcs, n, s).join(F.broadcast(s), "node_id", "left_anti").filter("score > 0").select("node_id", F.round("score", 6).alias("score"))
+    return best.orderBy(F.desc("score"), "node_id").limit(k)
+
+
+def q_top_activated(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    """The k nodes of the best path scores, with the path's fewest edges."""
+    return q_best_path(spark, d).orderBy(F.desc("score"), "node_id").limit(k)
+
+
 def q_two_hop(spark: SparkSession, d: str) -> DataFrame:
     e, _, s = _input(spark, d)
     return two_hop_proxy(e.select(F.col("src_id").alias("node_id"), F.col("dst_id").alias("other_id")), s)
@@ -195,22 +208,24 @@ s0 AS (SELECT node_id, 1.0::double AS score, false AS spent FROM seed)""" + "".j
     f""", g{k} AS MATERIALIZED (SELECT other_id AS node_id, max(score * 0.7::double * factor) AS got FROM s{k - 1} JOIN ad USING (node_id) WHERE NOT spent GROUP BY 1),
 m{k} AS MATERIALIZED (SELECT coalesce(s.node_id, g.node_id) AS node_id, s.score, g.got FROM s{k - 1} s FULL JOIN g{k} g ON s.node_id = g.node_id),
 s{k} AS (SELECT node_id, greatest(score, got) AS score, score IS NOT NULL AS spent FROM m{k})"""
-    for k in (1, 2, 3)
-) + ", wv AS (SELECT 0 AS step, node_id, 1.0::double AS score FROM seed" + "".join(f" UNION ALL SELECT {k}, node_id, round(got, 6) FROM m{k} WHERE got IS NOT NULL AND (score IS NULL OR got > score)" for k in (1, 2, 3)) + ")"
+    for k in range(1, WAVE_STEPS + 1)
+) + ", wv AS (SELECT 0 AS step, node_id, 1.0::double AS score FROM seed" + "".join(f" UNION ALL SELECT {k}, node_id, round(got, 6) FROM m{k} WHERE got IS NOT NULL AND (score IS NULL OR got > score)" for k in range(1, WAVE_STEPS + 1)) + ")"
 _BEST = _IN + """, sg AS MATERIALIZED (SELECT bi.node_id, other_id, max(coalesce(confidence, 0.5) * significance) AS step FROM bi JOIN gn ON gn.node_id = other_id WHERE coalesce(confidence, 0.5) * significance > 0 GROUP BY 1, 2),
 l0 AS (SELECT node_id, 1.0::double AS score FROM seed)""" + "".join(f", l{k} AS MATERIALIZED (SELECT other_id AS node_id, max(score * step) AS score FROM l{k - 1} JOIN sg USING (node_id) WHERE score >= 0.05 GROUP BY 1)" for k in (1, 2, 3, 4)) + ", al AS (" + " UNION ALL ".join(f"SELECT node_id, score, {k} AS depth FROM l{k}" for k in (1, 2, 3, 4)) + "), bp AS (SELECT node_id, round(max(score), 6) AS score, min(depth) AS depth FROM al WHERE node_id NOT IN (SELECT node_id FROM seed) GROUP BY 1)"
 _PPR = _IN + """, dg AS (SELECT node_id, count(*) AS deg FROM bi GROUP BY 1), sh AS MATERIALIZED (SELECT node_id, other_id, count(*)::double / any_value(deg) AS share FROM bi JOIN dg USING (node_id) GROUP BY 1, 2),
 p0 AS (SELECT gn.node_id, deg IS NULL AS dangling, (gn.node_id IN (SELECT node_id FROM seed))::int::double AS s, (gn.node_id IN (SELECT node_id FROM seed))::int::double AS score FROM gn LEFT JOIN dg USING (node_id))""" + "".join(
     f""", q{k} AS MATERIALIZED (SELECT other_id AS node_id, sum(score * share) AS got FROM p{k - 1} JOIN sh USING (node_id) GROUP BY 1),
 p{k} AS MATERIALIZED (SELECT p.node_id, dangling, s, 0.85::double * (coalesce(got, 0.0) + (SELECT coalesce(sum(score), 0.0) FROM p{k - 1} WHERE dangling) * s) + 0.15::double * s AS score FROM p{k - 1} p LEFT JOIN q{k} USING (node_id))"""
-    for k in range(1, 9)
+    for k in range(1, PPR_ROUNDS + 1)
 )
-QUERIES = {"activation_wave": q_wave, "wave_step_topk": q_wave_top, "activation_wave_full": q_wave_full, "wave_step_topk_full": q_wave_top_full, "best_path_activation": q_best_path, "activation_by_depth": q_by_depth, "ppr": q_ppr, "ppr_full": q_ppr_full, "two_hop_proxy_similarity": q_two_hop, "typed_random_walk": q_walks}
+QUERIES = {"activation_wave": q_wave, "wave_step_topk": q_wave_top, "best_path_activation": q_best_path, "activation_by_depth": q_by_depth, "ppr": q_ppr, "ppr_full": q_ppr_full, "ppr_top_k": q_ppr_top, "top_activated": q_top_activated, "two_hop_proxy_similarity": q_two_hop, "typed_random_walk": q_walks}
 SQL = {
     "activation_wave": _WAVE + " SELECT * FROM wv",
     "wave_step_topk": _WAVE + " SELECT step, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY score DESC, node_id) AS rn FROM wv WHERE score > 0.01) WHERE rn <= 50",
     "best_path_activation": _BEST + " SELECT * FROM bp",
     "activation_by_depth": _BEST + " SELECT depth, count(*) AS n, max(score) AS best FROM bp GROUP BY 1",
-    "ppr": _PPR + " SELECT node_id, round(score, 6) AS score FROM p8 WHERE score > 0",
+    "ppr": _PPR + f" SELECT node_id, round(score, 6) AS score FROM p{PPR_ROUNDS} WHERE score > 0",
+    "ppr_top_k": _PPR + f" SELECT node_id, round(score, 6) AS score FROM p{PPR_ROUNDS} WHERE score > 0 AND s = 0 ORDER BY 2 DESC, node_id LIMIT 50",
+    "top_activated": _BEST + " SELECT * FROM bp ORDER BY score DESC, node_id LIMIT 20",
     "two_hop_proxy_similarity": _IN + ", f1 AS (SELECT DISTINCT dst_id AS node_id FROM gl WHERE src_id IN (SELECT node_id FROM seed)), f2 AS (SELECT DISTINCT dst_id AS node_id FROM gl WHERE src_id IN (SELECT node_id FROM f1) AND dst_id NOT IN (SELECT node_id FROM seed)) SELECT node_id, max(score)::double AS score FROM (SELECT node_id, 0.8 AS score FROM f1 UNION ALL SELECT node_id, 0.5 FROM f2) GROUP BY 1",
 }

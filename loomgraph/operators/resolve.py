@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.graph import sql_values
+from loomgraph.plans.graph import NODE_TYPES, as_label, sql_label, sql_values
 from loomgraph.runtime import cut, read
 
 LINK, MERGE, BLOCK = 0.85, 0.95, 0.6
@@ -54,9 +54,14 @@ def alias_dim(spark: SparkSession, aliases: dict[str, list[str]] = ALIASES) -> D
     return spark.createDataFrame(sorted(rows.items()), "alias string, canonical string")
 
 
+def stripped(c: Column) -> Column:
+    """Lower case, without white space of any kind at the ends."""
+    return F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+
+
 def normalized(df: DataFrame, column: str, aliases: DataFrame, out: str) -> DataFrame:
     """Adds `out`: lower case, trimmed, aliases replaced by their canonical name; and `out`_known: whether the name is in the table."""
-    low = df.withColumn("alias", F.lower(F.trim(column)))
+    low = df.withColumn("alias", stripped(F.col(column)))
     j = low.join(F.broadcast(aliases), "alias", "left")
     return j.withColumn(out, F.coalesce("canonical", "alias")).withColumn(f"{out}_known", F.col("canonical").isNotNull()).drop("alias", "canonical")
 
@@ -113,22 +118,37 @@ def block_by_token(entities: DataFrame, most: float = BLOCK) -> DataFrame:
     return met.withColumn("similarity", string_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= most).distinct()
 
 
-def resolve(pairs: DataFrame) -> DataFrame:
-    """Candidate pairs -> confidence and decision. Names that differ after normalisation are no alias of each other."""
-    c = pair_confidence(F.col("similarity"), F.lit(False))
+def candidates(names: DataFrame, most: float = BLOCK) -> DataFrame:
+    """names(node_type, name, norm, norm_known), each name once -> (node_type, a, b, similarity, alias).
+
+    Names of one normal form meet their first name in byte order, with similarity 1 (all pairs of a form follow from these);
+    alias tells whether the form is of the alias table. Forms that are alike (see block_by_token) meet by their first names.
+    """
+    first = names.groupBy("node_type", "norm").agg(F.min("name").alias("a"))
+    star = names.join(first, ["node_type", "norm"]).filter("name <> a").select("node_type", "a", F.col("name").alias("b"), F.lit(1.0).alias("similarity"), F.col("norm_known").alias("alias"))
+    forms = block_by_token(names.select("node_type", F.col("name").alias("id"), "norm"), most)
+    of = lambda x: first.select("node_type", F.col("norm").alias(x), F.col("a").alias(f"name_{x}"))
+    between = forms.join(of("a"), ["node_type", "a"]).join(of("b"), ["node_type", "b"])
+    return star.unionByName(between.select("node_type", F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "similarity", F.lit(False).alias("alias")))
+
+
+def resolve(pairs: DataFrame, embedding: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (similarity, alias) -> confidence and decision. embedding(a, b, score): in either order, where known."""
+    score = None
+    if embedding is not None:
+        key = [F.least("a", "b").alias("k1"), F.greatest("a", "b").alias("k2")]
+        best = embedding.select(*key, "score").groupBy("k1", "k2").agg(F.max("score").alias("score"))
+        pairs = pairs.withColumns({"k1": F.least("a", "b"), "k2": F.greatest("a", "b")}).join(best, ["k1", "k2"], "left").drop("k1", "k2")
+        score = F.col("score")
+    c = pair_confidence(F.col("similarity"), F.col("alias"), score)
     return pairs.withColumn("confidence", F.round(c, 6)).withColumn("decision", F.when(F.col("confidence") >= MERGE, "merge").when(F.col("confidence") >= LINK, "link").otherwise("none"))
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    n = read(spark, d, "nodes").filter("name is not null").select("node_type", F.col("node_id").alias("id"), "name")
-    return normalized(n, "name", alias_dim(spark), "norm")
-
-
-def _named_all(spark: SparkSession, d: str) -> DataFrame:
-    """Names and types of the extracted entities and of the seed nodes, each once."""
-    e = read(spark, d, "entities").select(F.col("type").alias("node_type"), F.col("entity_id").cast("string").alias("id"), "name")
-    n = read(spark, d, "nodes").select("node_type", F.col("node_id").alias("id"), "name")
-    rows = e.unionByName(n).filter("name is not null").groupBy("node_type", "name").agg(F.min("id").alias("id"))
+    """Names and types of the extracted entities and of the seed nodes, each once; types by the label that they mean."""
+    e = read(spark, d, "entities").select(as_label(F.col("type"), NODE_TYPES).alias("node_type"), "name")
+    n = read(spark, d, "nodes").select(as_label(F.col("node_type"), NODE_TYPES).alias("node_type"), "name")
+    rows = e.unionByName(n).filter("name is not null and node_type is not null").distinct()
     return normalized(rows, "name", alias_dim(spark), "norm")
 
 
@@ -150,21 +170,31 @@ def q_pair_confidence(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pair_id", F.round(pair_confidence(string_similarity(a, b), a == b, F.col("confidence")), 6).alias("confidence"))
 
 
-def q_block_full(spark: SparkSession, d: str) -> DataFrame:
-    return block_by_token(_named_all(spark, d)).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
+def q_block(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate pairs of all names; er_candidates_sorted has the best of them."""
+    return candidates(_named(spark, d)).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-def q_resolve_full(spark: SparkSession, d: str) -> DataFrame:
-    return resolve(block_by_token(_named_all(spark, d))).select("node_type", "a", "b", "confidence", "decision")
+def q_candidates_sorted(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
+    return q_block(spark, d).orderBy(F.desc("similarity"), "node_type", "a", "b").limit(k)
 
 
-def q_block(spark: SparkSession, d: str) -> DataFrame:
-    """Of the seed nodes only, as in its SQL; so is q_resolve."""
-    return block_by_token(_named(spark, d)).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    """With the scores of entity_pairs as the embedding signal, where there is one."""
+    p = read(spark, d, "entity_pairs").filter("name_a is not null and name_b is not null and confidence is not null")
+    return resolve(candidates(_named(spark, d)), p.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.col("confidence").alias("score")))
 
 
 def q_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return resolve(block_by_token(_named(spark, d))).select("node_type", "a", "b", "confidence", "decision")
+    return _resolved(spark, d).select("node_type", "a", "b", "confidence", "decision")
+
+
+def q_duplicate_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Per type: names, links, merges, and their share of the names."""
+    found = q_resolve(spark, d).groupBy("node_type").agg(F.count_if(F.col("decision") == "link").alias("links"), F.count_if(F.col("decision") == "merge").alias("merges"))
+    total = _named(spark, d).groupBy("node_type").agg(F.count("*").alias("names"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return total.join(found, "node_type", "left").select("node_type", "names", zero("links").alias("links"), zero("merges").alias("merges"), F.round((zero("links") + zero("merges")) / F.col("names"), 6).alias("rate"))
 
 
 def q_er_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -204,27 +234,36 @@ def _sim(a: str, b: str) -> str:
 
 
 _PAIRS = "WITH p AS (SELECT *, lower(trim(name_a, ' ')) AS a, lower(trim(name_b, ' ')) AS b FROM entity_pairs WHERE name_a IS NOT NULL AND name_b IS NOT NULL)"
-_BLK = f"""WITH {_AL}, nn AS (SELECT DISTINCT node_type, coalesce(canonical, lower(trim(name, ' '))) AS norm FROM nodes LEFT JOIN al ON lower(trim(name, ' ')) = alias WHERE name IS NOT NULL),
-bl AS (SELECT x.node_type, x.norm AS a, y.norm AS b, {_sim('x.norm', 'y.norm')} AS similarity FROM nn x JOIN nn y ON x.node_type = y.node_type AND x.norm < y.norm),
-bk AS (SELECT * FROM bl WHERE similarity >= {BLOCK})"""
+_NORM = r"lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
+_BLK = f"""WITH {_AL}, nm AS (SELECT DISTINCT t AS node_type, name FROM (SELECT {sql_label('type', NODE_TYPES)} AS t, name FROM entities UNION ALL SELECT {sql_label('node_type', NODE_TYPES)}, name FROM nodes) WHERE t IS NOT NULL AND name IS NOT NULL),
+nn AS (SELECT node_type, name, coalesce(canonical, {_NORM.format('name')}) AS norm, canonical IS NOT NULL AS known FROM nm LEFT JOIN al ON {_NORM.format('name')} = alias),
+fs AS MATERIALIZED (SELECT node_type, norm, min(name) AS name, any_value(known) AS known FROM nn GROUP BY 1, 2),
+st AS (SELECT nn.node_type, fs.name AS a, nn.name AS b, 1.0::double AS similarity, nn.known AS alias FROM nn JOIN fs USING (node_type, norm) WHERE nn.name <> fs.name),
+bl AS (SELECT x.node_type, least(x.name, y.name) AS a, greatest(x.name, y.name) AS b, {_sim('x.norm', 'y.norm')} AS similarity, false AS alias FROM fs x JOIN fs y ON x.node_type = y.node_type AND x.norm < y.norm),
+bk AS MATERIALIZED (SELECT * FROM st UNION ALL SELECT * FROM bl WHERE similarity >= {BLOCK}),
+em AS (SELECT least(name_a, name_b) AS k1, greatest(name_a, name_b) AS k2, max(confidence) AS score FROM entity_pairs WHERE name_a IS NOT NULL AND name_b IS NOT NULL AND confidence IS NOT NULL GROUP BY 1, 2),
+cf AS (SELECT bk.*, round(((similarity::double * (CASE WHEN score IS NOT NULL THEN 0.5 ELSE 0.7 END)::double + alias::int * 0.2::double + coalesce(score, 0.0) * (CASE WHEN score IS NOT NULL THEN 0.3 ELSE 0.0 END)::double) / ((CASE WHEN score IS NOT NULL THEN 0.5 ELSE 0.7 END) + 0.2 + (CASE WHEN score IS NOT NULL THEN 0.3 ELSE 0.0 END))::double), 6) AS confidence FROM bk LEFT JOIN em ON least(a, b) = k1 AND greatest(a, b) = k2),
+rs AS (SELECT node_type, a, b, confidence, CASE WHEN confidence >= 0.95 THEN 'merge' WHEN confidence >= 0.85 THEN 'link' ELSE 'none' END AS decision FROM cf)"""
 QUERIES = {
     "normalize_name": q_normalize,
     "string_similarity": q_similarity,
     "pair_confidence": q_pair_confidence,
     "er_block": q_block,
     "resolve_entities": q_resolve,
-    "er_block_full": q_block_full,
-    "resolve_entities_full": q_resolve_full,
+    "er_candidates_sorted": q_candidates_sorted,
+    "er_duplicate_rate": q_duplicate_rate,
     "er_summary": q_er_summary,
     "er_metrics": q_er_metrics,
     "er_top_duplicates": q_top_duplicates,
 }
 SQL = {
-    "normalize_name": f"WITH {_AL} SELECT entity_id, coalesce(canonical, lower(trim(name, ' '))) AS norm, canonical IS NOT NULL AS known FROM entities LEFT JOIN al ON lower(trim(name, ' ')) = alias WHERE name IS NOT NULL",
+    "normalize_name": f"WITH {_AL} SELECT entity_id, coalesce(canonical, {_NORM.format('name')}) AS norm, canonical IS NOT NULL AS known FROM entities LEFT JOIN al ON {_NORM.format('name')} = alias WHERE name IS NOT NULL",
     "string_similarity": _PAIRS + f" SELECT pair_id, round({_sim('a', 'b')}, 6) AS similarity FROM p",
     "pair_confidence": _PAIRS + f" SELECT pair_id, round((({_sim('a', 'b')})::double * (CASE WHEN confidence IS NOT NULL THEN 0.5 ELSE 0.7 END)::double + (a = b)::int * 0.2::double + coalesce(confidence, 0.0) * (CASE WHEN confidence IS NOT NULL THEN 0.3 ELSE 0.0 END)::double) / ((CASE WHEN confidence IS NOT NULL THEN 0.5 ELSE 0.7 END) + 0.2 + (CASE WHEN confidence IS NOT NULL THEN 0.3 ELSE 0.0 END))::double, 6) AS confidence FROM p",
     "er_block": _BLK + " SELECT node_type, a, b, round(similarity, 6) AS similarity FROM bk",
-    "resolve_entities": _BLK + ", s AS (SELECT node_type, a, b, round(similarity::double * 0.7 / 0.9, 6) AS confidence FROM bk) SELECT *, CASE WHEN confidence >= 0.95 THEN 'merge' WHEN confidence >= 0.85 THEN 'link' ELSE 'none' END AS decision FROM s",
+    "er_candidates_sorted": _BLK + " SELECT node_type, a, b, round(similarity, 6) AS similarity FROM bk ORDER BY 4 DESC, node_type, a, b LIMIT 100",
+    "resolve_entities": _BLK + " SELECT * FROM rs",
+    "er_duplicate_rate": _BLK + ", tt AS (SELECT node_type, count(*) AS names FROM nn GROUP BY 1), ff AS (SELECT node_type, count(*) FILTER (decision = 'link') AS links, count(*) FILTER (decision = 'merge') AS merges FROM rs GROUP BY 1) SELECT node_type, names, coalesce(links, 0) AS links, coalesce(merges, 0) AS merges, round((coalesce(links, 0) + coalesce(merges, 0)) / names, 6) AS rate FROM tt LEFT JOIN ff USING (node_type)",
     "er_summary": "SELECT count(*) AS evaluated, count(*) FILTER (should_link) AS links, count(*) FILTER (should_merge) AS merges, round((count(*) FILTER (should_link) + count(*) FILTER (should_merge)) / greatest(1, count(*)), 6) AS rate FROM entity_pairs",
     "er_metrics": "WITH p AS (SELECT least(name_a, name_b) AS a, greatest(name_a, name_b) AS b, confidence, should_merge FROM entity_pairs WHERE name_a IS NOT NULL AND name_b IS NOT NULL), pr AS (SELECT DISTINCT a, b FROM p WHERE confidence >= 0.85), tr AS (SELECT DISTINCT a, b FROM p WHERE should_merge), c AS (SELECT (SELECT count(*) FROM pr JOIN tr USING (a, b)) AS tp, (SELECT count(*) FROM pr) AS np, (SELECT count(*) FROM tr) AS nt), m AS (SELECT *, coalesce(tp::double / nullif(np, 0), 0.0) AS p, coalesce(tp::double / nullif(nt, 0), 0.0) AS r FROM c) SELECT tp, np, nt, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1 FROM m",
     "er_top_duplicates": "SELECT pair_id, name_a, name_b, confidence FROM entity_pairs WHERE should_merge AND confidence IS NOT NULL ORDER BY confidence DESC, pair_id LIMIT 20",

@@ -1,4 +1,4 @@
-"""Search: BM25 over an inverted index in DataFrames, and cosine top-k for a stated query set."""
+"""Search: BM25 in one pass over the texts, and cosine top-k for a stated query set."""
 
 from __future__ import annotations
 
@@ -37,6 +37,15 @@ def bm25(docs: DataFrame, query: list[str], k: int = 20) -> DataFrame:
     return hit.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def sql_bm25(table: str, query: list[str], k: int = 20) -> str:
+    """bm25 in SQL over a table with doc_id and text."""
+    terms = sorted({q.lower() for q in query})
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (t{i} > 0)::double AS d{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln(1.0 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * {K1 + 1} / (t{i} + {K1} * ({1 - B} + {B} * l / av))" for i in range(len(terms)))
+    return f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {table}), t AS (SELECT doc_id, len(w) AS l, {tf} FROM w), s AS (SELECT count(*)::double AS n, avg(l) AS av, {df} FROM t) SELECT doc_id, round({score}, 6) AS score FROM t, s WHERE {' OR '.join(f't{i} > 0' for i in range(len(terms)))} ORDER BY score DESC, doc_id LIMIT {k}"
+
+
 def q_fulltext(spark: SparkSession, d: str) -> DataFrame:
     return bm25(read(spark, d, "documents"), ["gradient", "variance", "samples"])
 
@@ -64,8 +73,6 @@ def q_vector(spark: SparkSession, d: str) -> DataFrame:
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::double * p[2]::double))"
 QUERIES = {"fulltext_search": q_fulltext, "vector_search": q_vector}
 SQL = {
-    "fulltext_search": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, len(w) AS l, len(list_filter(w, lambda x: x = 'gradient')) AS a, len(list_filter(w, lambda x: x = 'samples')) AS b, len(list_filter(w, lambda x: x = 'variance')) AS c FROM w), s AS (SELECT count(*)::double AS n, avg(l) AS av, count(*) FILTER (a > 0)::double AS da, count(*) FILTER (b > 0)::double AS db, count(*) FILTER (c > 0)::double AS dc FROM t) SELECT doc_id, round("
-    + " + ".join(f"ln(1.0 + (n - d{x} + 0.5) / (d{x} + 0.5)) * {x} * 2.2 / ({x} + 1.2 * (0.25 + 0.75 * l / av))" for x in "abc")
-    + ", 6) AS score FROM t, s WHERE a > 0 OR b > 0 OR c > 0 ORDER BY score DESC, doc_id LIMIT 20",
+    "fulltext_search": sql_bm25("documents", ["gradient", "variance", "samples"]),
     "vector_search": f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 10",
 }

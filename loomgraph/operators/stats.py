@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.graph import G, NODE_TYPES, VENUES, edge_type_dim, edges, latest_papers, nodes, sql_list, sql_values, venue_dim
+from loomgraph.plans.graph import G, NODE_TYPES, VENUES, edge_type_dim, edges, latest_papers, nodes, relation_rows, sql_list, sql_values, venue_dim
 from loomgraph.runtime import read
 
 # Which types each relation may join, for the direction check.
@@ -195,6 +195,7 @@ _TIERS = sql_values([(v, t) for t, vs in VENUES.items() for v in vs])
 
 QUERIES = {
     "edge_counts": edge_counts,
+    "relation_rows": relation_rows,
     "node_counts": node_counts,
     "confidence_bands": confidence_bands,
     "year_distribution": year_distribution,
@@ -212,6 +213,7 @@ QUERIES = {
     "novelty_mix": q_novelty_mix,
 }
 SQL = {
+    "relation_rows": G + "SELECT CASE WHEN source IS NULL OR target IS NULL THEN 'no end' WHEN rel IS NULL THEN 'unknown relation' WHEN st IS NULL OR tt IS NULL THEN 'unknown type' ELSE 'edge' END AS outcome, count(*) AS n FROM gr GROUP BY 1",
     "edge_counts": G + "SELECT et.edge_type, count(ge.src_id) AS n FROM et LEFT JOIN ge USING (edge_type) GROUP BY 1",
     "node_counts": G + f"SELECT t.node_type, count(gn.node_id) AS n FROM (VALUES {sql_values([(t,) for t in NODE_TYPES])}) t(node_type) LEFT JOIN gn USING (node_type) GROUP BY 1",
     "confidence_bands": G + "SELECT CASE WHEN confidence > 0.8 THEN 'high' WHEN confidence > 0.5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM ge WHERE confidence IS NOT NULL GROUP BY 1",

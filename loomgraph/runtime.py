@@ -95,6 +95,26 @@ class Buckets:
             remove(self.spark, path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written under another name, then renamed."""
+    jvm = spark.sparkContext._jvm
+    draft, final = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.draft", path))
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(final, False)
+    fs.rename(draft, final)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """What write_text wrote; null if there is nothing."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
     """Keys of at least max(floor, rows / share) rows: at most `share` of them, so the list is bounded whatever the data."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()

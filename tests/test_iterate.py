@@ -77,9 +77,9 @@ def chain(spark, monkeypatch):
 
 
 def test_registered_wave_takes_all_steps(spark, chain):
-    got = {r.node_id: r.step for r in registry.queries()["activation_wave_full"](spark, "").collect()}
+    got = {r.node_id: r.step for r in registry.queries()["activation_wave"](spark, "").collect()}
     assert got == {f"n{i:02}": i for i in range(6)}
-    assert {r.step for r in registry.queries()["wave_step_topk_full"](spark, "").collect()} <= set(range(6))
+    assert {r.step for r in registry.queries()["wave_step_topk"](spark, "").collect()} <= set(range(6))
     with pytest.raises(ValueError):
         activation_wave(None, None, steps=11)
 

@@ -2,7 +2,7 @@ import random
 import re
 
 from loomgraph import registry
-from loomgraph.operators.resolve import SEPARATORS
+from loomgraph.operators.resolve import SEPARATORS, alias_dim, candidates, normalized, resolve
 
 
 def similar(a, b):
@@ -17,10 +17,22 @@ def test_extracted_entities_are_blocked_as_all_pairs(spark, tmp_path):
     names = {" ".join(rnd.choices(words, k=rnd.randint(1, 5))) for _ in range(300)} | {"ab", "abc", "cab", "xyz", "wxyz", "deepnet", "deepnets"}
     rows = [(i, t, x) for i, x in enumerate(sorted(names)) for t in ("Technique", rnd.choice(["Problem", "Dataset"]))] + [(-1, "Problem", None), (-2, None, "ab")]
     spark.createDataFrame(rows, "entity_id long, type string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([("a", "b", 0.5)], "name_a string, name_b string, confidence double").write.parquet(f"{tmp_path}/entity_pairs.parquet")
     spark.createDataFrame([("N1", "Technique", "seed only net"), ("N2", "Technique", "seed only nets")], "node_id string, node_type string, name string").write.parquet(f"{tmp_path}/nodes.parquet")
     have = {(t, x) for _, t, x in rows if t and x} | {("Technique", "seed only net"), ("Technique", "seed only nets")}
     want = {(t, a, b) for t, a in have for u, b in have if t == u and a < b and similar(a, b) >= 0.6}
-    got = registry.queries()["er_block_full"](spark, str(tmp_path)).collect()
+    got = registry.queries()["er_block"](spark, str(tmp_path)).collect()
     assert {(r.node_type, r.a, r.b) for r in got} == want and len(got) == len(want) > 50
     assert {("Technique", "ab", "abc"), ("Technique", "ab", "cab")} <= want
-    assert registry.queries()["resolve_entities_full"](spark, str(tmp_path)).count() == len(want)
+    assert registry.queries()["resolve_entities"](spark, str(tmp_path)).count() == len(want)
+
+
+def test_aliases_merge_and_link(spark):
+    names = [("Technique", x) for x in ("Transformer", "transformer model", "Transformer Architecture ", "GRU", "Gated Recurrent Unit", "Own Net", "own net")] + [("Problem", "gru")]
+    named = normalized(spark.createDataFrame(names, "node_type string, name string"), "name", alias_dim(spark), "norm")
+    pairs = candidates(named)
+    got = {(r.a, r.b): (r.similarity, r.decision) for r in resolve(pairs).filter("similarity = 1").collect()}
+    assert got == {("Transformer", "transformer model"): (1.0, "merge"), ("Transformer", "Transformer Architecture "): (1.0, "merge"), ("GRU", "Gated Recurrent Unit"): (1.0, "merge"), ("Own Net", "own net"): (1.0, "none")}
+    said = spark.createDataFrame([("transformer model", "Transformer", 0.6), ("GRU", "Gated Recurrent Unit", 0.1)], "a string, b string, score double")
+    with_scores = {(r.a, r.b): r.decision for r in resolve(pairs, said).filter("similarity = 1").collect()}
+    assert with_scores[("Transformer", "transformer model")] == "link" and with_scores[("GRU", "Gated Recurrent Unit")] == "none" and with_scores[("Transformer", "Transformer Architecture ")] == "merge"
