@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.plans.graph import G, TRIPLES, edges, latest_papers, linked_edges, nodes, sql_values, triple_dim, undirected
+from loomgraph.plans.graph import EDGE_TYPES, G, NODE_TYPES, TIER_WEIGHTS, TRIPLES, VENUES, as_label, edges, latest_papers, linked_edges, node_id, nodes, sql_values, triple_dim, undirected, venue_dim
 from loomgraph.runtime import read
 
 
@@ -122,9 +122,11 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Citations as maps paper -> cited, without self references and repeats."""
-    c = edges(spark, d).filter("edge_type = 'CITES' and src_id <> dst_id").groupBy("src_id").agg(F.count_distinct("dst_id").alias("cited"))
-    return c
+    """Citations as lists paper -> cited, in order, without self references and repeats, with the number of rows dropped."""
+    c = edges(spark, d).filter("edge_type = 'CITES'")
+    good = F.col("src_id") != F.col("dst_id")
+    out = c.groupBy("src_id").agg(F.array_sort(F.collect_set(F.when(good, F.col("dst_id")))).alias("l"), F.sum("n").alias("n"))
+    return out.select("src_id", F.array_join("l", "|").alias("cited"), (F.col("n") - F.size("l")).alias("dropped"))
 
 
 def upsert_papers(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -142,8 +144,8 @@ def q_upsert_papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_upsert_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Citations whose both ends are papers."""
-    return linked_edges(spark, d).filter("edge_type = 'CITES'").select("src_id", "dst_id").distinct()
+    """Citations whose both ends are papers, with the number of rows that said so."""
+    return linked_edges(spark, d).filter("edge_type = 'CITES'").groupBy("src_id", "dst_id").agg(F.sum("n").alias("matched"))
 
 
 def q_citation_stubs(spark: SparkSession, d: str) -> DataFrame:
@@ -159,8 +161,16 @@ def q_upsert_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_upsert_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between known nodes, with the weight of their source's venue left out: counts per type."""
-    return linked_edges(spark, d).groupBy("edge_type").agg(F.count("*").alias("edges"), F.sum("n").alias("rows"))
+    """Edges between known nodes with their provenance: the most confident row that said so (then the latest), its paper, and
+    the weight of that paper's venue; how they came to be and that nobody has checked them are constants."""
+    r = read(spark, d, "relations").select("relation_id", "arxiv_id", as_label(F.col("source_type"), NODE_TYPES).alias("st"), "source", as_label(F.col("relation"), [t[0] for t in EDGE_TYPES]).alias("edge_type"), as_label(F.col("target_type"), NODE_TYPES).alias("tt"), "target", "confidence")
+    r = r.select(node_id(F.col("st"), F.col("source")).alias("src_id"), "edge_type", node_id(F.col("tt"), F.col("target")).alias("dst_id"), F.struct(F.coalesce("confidence", F.lit(-1.0)).alias("c"), "relation_id", F.coalesce("arxiv_id", F.lit("")).alias("source_paper")).alias("r")).filter("src_id is not null and edge_type is not null and dst_id is not null")
+    best = r.groupBy("src_id", "edge_type", "dst_id").agg(F.max("r").alias("r"))
+    n = nodes(spark, d).select("node_id")
+    best = best.join(n.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(n.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi").select("src_id", "edge_type", "dst_id", F.when(F.col("r.c") >= 0, F.col("r.c")).alias("confidence"), F.col("r.source_paper").alias("source_paper"))
+    venue = latest_papers(read(spark, d, "papers")).filter("arxiv_id <> ''").groupBy(F.col("arxiv_id").alias("source_paper")).agg(F.max(F.struct("ingested_at", F.coalesce("venue", F.lit("")).alias("v"))).alias("m"))
+    venue = venue.select("source_paper", F.lower(F.trim("m.v")).alias("venue_key")).join(F.broadcast(venue_dim(spark)), "venue_key", "left").select("source_paper", "weight")
+    return best.join(venue, "source_paper", "left").select("src_id", "edge_type", "dst_id", "confidence", "source_paper", F.coalesce("weight", F.lit(0.15)).alias("venue_weight"), F.lit("extraction").alias("method"), F.lit(False).alias("validated"))
 
 
 def q_entities_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -189,6 +199,11 @@ def q_novelty_check(spark: SparkSession, d: str) -> DataFrame:
     return lim.join(e.filter("edge_type = 'MITIGATES'").select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti")
 
 
+_PROV = f""", vn(k, weight) AS (VALUES {sql_values([(v, TIER_WEIGHTS[t]) for t, vs in VENUES.items() for v in vs])}),
+b AS (SELECT st || ':' || source AS src_id, rel AS edge_type, tt || ':' || target AS dst_id, max((coalesce(confidence, -1.0), relation_id, coalesce(arxiv_id, ''))) AS m FROM gr WHERE st IS NOT NULL AND rel IS NOT NULL AND tt IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL GROUP BY 1, 2, 3),
+pv AS (SELECT arxiv_id, max((ingested_at, coalesce(venue, ''))) AS m FROM gp WHERE arxiv_id <> '' GROUP BY 1)
+SELECT src_id, edge_type, dst_id, CASE WHEN b.m[1] >= 0 THEN b.m[1] END AS confidence, b.m[3] AS source_paper, coalesce(weight, 0.15)::double AS venue_weight, 'extraction' AS method, false AS validated
+FROM b LEFT JOIN pv ON b.m[3] = arxiv_id LEFT JOIN vn ON lower(trim(pv.m[2], ' ')) = k WHERE src_id IN (SELECT node_id FROM gn) AND dst_id IN (SELECT node_id FROM gn)"""
 _SEED = ", du AS (SELECT node_id, count(*) AS n FROM (SELECT src_id AS node_id FROM gl UNION ALL SELECT dst_id FROM gl) GROUP BY 1), seed AS (SELECT node_id FROM du ORDER BY n DESC, node_id LIMIT 1), lu AS (SELECT src_id AS node_id, dst_id AS other_id, edge_type, confidence FROM gl UNION ALL SELECT dst_id, src_id, edge_type, confidence FROM gl)"
 _NH = G + _SEED + """, r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY confidence DESC NULLS FIRST, edge_type, other_id) AS rank FROM lu),
 f AS (SELECT 1 AS depth, r.* FROM r WHERE node_id IN (SELECT node_id FROM seed) AND rank <= 50),
@@ -235,12 +250,12 @@ SQL = {
     "validate_edge": G + f", tr(s, t, o) AS (VALUES {sql_values(TRIPLES)}) SELECT src_type, edge_type, dst_type, count(*) AS n, bool_or(s IS NOT NULL) AS legal FROM ge LEFT JOIN tr ON src_type = s AND edge_type = t AND dst_type = o GROUP BY 1, 2, 3",
     "validate_node_props": "SELECT type, missing, count(*) AS n FROM (SELECT type, 'name' AS missing FROM entities WHERE name IS NULL UNION ALL SELECT type, 'description' FROM entities WHERE description IS NULL UNION ALL SELECT type, 'mathematical_structure' FROM entities WHERE type = 'Technique' AND mathematical_structure IS NULL UNION ALL SELECT type, 'bottleneck_class' FROM entities WHERE type = 'Problem' AND bottleneck_class IS NULL) WHERE type IN ('Technique', 'Problem', 'Dataset') GROUP BY 1, 2",
     "schema_migrate": 'SELECT arxiv_id, count(*) AS "rows" FROM papers WHERE arxiv_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1',
-    "citation_validate": G + "SELECT src_id, count(DISTINCT dst_id) AS cited FROM ge WHERE edge_type = 'CITES' AND src_id <> dst_id GROUP BY 1",
+    "citation_validate": G + "SELECT src_id, coalesce(string_agg(DISTINCT dst_id, '|' ORDER BY dst_id) FILTER (src_id <> dst_id), '') AS cited, (sum(n) - count(DISTINCT dst_id) FILTER (src_id <> dst_id))::bigint AS dropped FROM ge WHERE edge_type = 'CITES' GROUP BY 1",
     "upsert_papers": G + ", x AS (SELECT title, year, venue, row_number() OVER (PARTITION BY title ORDER BY record_id DESC) AS rn FROM extractions WHERE batch_no > 0 AND title IS NOT NULL) SELECT title, year, venue FROM x WHERE rn = 1 UNION ALL SELECT title, year, nullif(venue, '') FROM gp WHERE title NOT IN (SELECT title FROM x)",
-    "upsert_citations": G + "SELECT DISTINCT src_id, dst_id FROM gl WHERE edge_type = 'CITES'",
+    "upsert_citations": G + "SELECT src_id, dst_id, sum(n)::bigint AS matched FROM gl WHERE edge_type = 'CITES' GROUP BY 1, 2",
     "merge_citation_stubs": G + "SELECT DISTINCT dst_id AS node_id, true AS stub FROM ge WHERE edge_type = 'CITES' AND dst_id NOT IN (SELECT node_id FROM gn)",
     "upsert_entities": "SELECT type, name, description FROM (SELECT *, row_number() OVER (PARTITION BY type, name ORDER BY extracted_at DESC, entity_id DESC) AS rn FROM entities WHERE name IS NOT NULL AND type IS NOT NULL) WHERE rn = 1",
-    "upsert_relations": G + 'SELECT edge_type, count(*) AS edges, sum(n)::bigint AS "rows" FROM gl GROUP BY 1',
+    "upsert_relations": G + _PROV,
     "scan_entities_dedup": "SELECT key, type, name FROM (SELECT lower(name) AS key, type, name, row_number() OVER (PARTITION BY lower(name), type ORDER BY entity_id) AS rn FROM entities WHERE name IS NOT NULL AND type IS NOT NULL) WHERE rn = 1",
     "search_merge_topk": G + "SELECT node_id, node_type, significance FROM (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY significance DESC, node_id) AS rn FROM gn) WHERE rn <= 10 ORDER BY significance DESC, node_id LIMIT 20",
     "technique_presence": G + "SELECT n.node_id, lower(n.name) IN (SELECT lower(name) FROM gn WHERE name IS NOT NULL) AS found FROM nodes n",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import read
+from loomgraph.runtime import global_rank, read, read_text, workspace, write_text
 
 START, K = 1500.0, 32.0
 
@@ -106,15 +106,33 @@ def q_feedback_page(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").filter("event_type = 'purchase'").select("event_id", "ts", "user_id").orderBy(F.desc("ts"), "event_id").offset(10).limit(50)
 
 
+def append_feedback(spark: SparkSession, path: str, rows: DataFrame, order: list) -> None:
+    """Adds rows to the feedback at path with the next ids, in the order given (which must be total)."""
+    held = read_text(spark, f"{path}/last")
+    ranked = global_rank(rows, order, "id").withColumn("id", F.col("id") + F.lit(int(held or 0)))
+    ranked.write.mode("append").parquet(f"{path}/rows")
+    write_text(spark, f"{path}/last", str(int(held or 0) + rows.count()))
+
+
+def q_feedback_append(spark: SparkSession, d: str) -> DataFrame:
+    """Votes (purchases up, errors down) appended in two batches: (id, event_id, rating)."""
+    path = workspace(spark, "feedback")
+    e = read(spark, d, "events").filter("event_type in ('purchase', 'error')").select("event_id", "ts", F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("rating"))
+    for odd in (0, 1):
+        append_feedback(spark, path, e.filter(F.col("event_id") % 2 == odd), [F.col("ts").asc(), F.col("event_id").asc()])
+    return spark.read.parquet(f"{path}/rows").select("id", "event_id", "rating")
+
+
 _M = """WITH o AS (SELECT comparison_id, min((judged_at, round_no, hyp_a, hyp_b, winner)) AS r FROM pairwise_outcomes WHERE hyp_a IS NOT NULL AND hyp_b IS NOT NULL AND hyp_a <> hyp_b GROUP BY 1),
 x AS (SELECT r[3] AS a, r[4] AS b, CASE r[5] WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END::double AS s FROM o)"""
-QUERIES = {"elo_tournament": q_elo, "elo_ranked": q_elo_top, "elo_expected": q_elo_expected, "elo_points": q_wins, "hypotheses_page": q_page, "hypotheses_recent": q_recent, "feedback_stats": q_feedback_stats, "feedback_vote": q_feedback_vote, "feedback_page": q_feedback_page}
+QUERIES = {"elo_tournament": q_elo, "elo_ranked": q_elo_top, "elo_expected": q_elo_expected, "elo_points": q_wins, "hypotheses_page": q_page, "hypotheses_recent": q_recent, "feedback_stats": q_feedback_stats, "feedback_vote": q_feedback_vote, "feedback_page": q_feedback_page, "feedback_append": q_feedback_append}
 SQL = {
     "elo_expected": "SELECT hypothesis_id, round(1.0 / (1.0 + pow(10.0, (1500.0 - a) / 400.0)), 6) AS expected, round(a + 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (1500.0 - a) / 400.0))), 5) AS after_win FROM (SELECT hypothesis_id, (1500.0 + coalesce(feedback_up, 0) - coalesce(feedback_down, 0))::double AS a FROM hypotheses)",
     "elo_points": _M + " SELECT item, count(*) AS played, sum(s) AS points FROM (SELECT a AS item, s FROM x UNION ALL SELECT b, 1.0 - s FROM x) GROUP BY 1",
     "hypotheses_page": "SELECT hypothesis_id, title, coalesce(feedback_up, 0) - coalesce(feedback_down, 0) AS net FROM hypotheses ORDER BY net DESC, hypothesis_id LIMIT 20 OFFSET 20",
     "hypotheses_recent": "SELECT hypothesis_id, created_at FROM hypotheses ORDER BY created_at DESC NULLS LAST, hypothesis_id LIMIT 20",
     "feedback_stats": "SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS up, count(*) FILTER (event_type = 'error') AS down, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS skip, count(DISTINCT user_id) AS subjects, round(count(*) FILTER (event_type = 'purchase') / greatest(1, count(*) FILTER (event_type IN ('purchase', 'error'))), 6) AS approval FROM events",
+    "feedback_append": "SELECT row_number() OVER (ORDER BY event_id % 2, ts, event_id) AS id, event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS rating FROM events WHERE event_type IN ('purchase', 'error')",
     "feedback_vote": "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS up, count(*) FILTER (event_type = 'error') AS down FROM events GROUP BY 1",
     "feedback_page": "SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 10",
 }

@@ -90,10 +90,11 @@ def q_holdout_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fill_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Share of extracted techniques with a mathematical structure; 1 where there are none."""
+    """Fill rate of mathematical structures as the report states it: techniques with one, over the techniques judged and those
+    that the checks found without one; 1 where there are none."""
     e = read(spark, d, "extractions").select(F.inline("entities")).filter("type = 'Technique'")
     filled = F.count_if(~F.lower(F.coalesce("mathematical_structure", F.lit(""))).isin("", "none", "n/a"))
-    return e.agg(F.count("*").alias("techniques"), filled.alias("filled"), F.round(F.coalesce(F.try_divide(filled, F.count("*")), F.lit(1.0)), 6).alias("rate"))
+    return e.agg(F.count("*").alias("techniques"), filled.alias("filled"), F.round(F.coalesce(F.try_divide(filled, 2 * F.count("*") - filled), F.lit(1.0)), 6).alias("rate"))
 
 
 def co_citation(e: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ SQL = {
     "ablation_metrics": _ABL,
     "holdout_match": _HOLD + " SELECT * FROM hd",
     "holdout_summary": _HOLD + " SELECT count(*) AS total, count(*) FILTER (match <> 'none') AS matched, count(*) FILTER (match = 'exact') AS exact, round(count(*) FILTER (match <> 'none') / greatest(1, count(*)), 6) AS rate, count(*) FILTER (match <> 'none') >= 5 AS passed FROM hd",
-    "math_fill_rate": "SELECT count(*) AS techniques, count(*) FILTER (lower(coalesce(mathematical_structure, '')) NOT IN ('', 'none', 'n/a')) AS filled, round(coalesce(count(*) FILTER (lower(coalesce(mathematical_structure, '')) NOT IN ('', 'none', 'n/a')) / nullif(count(*), 0), 1.0)::double, 6) AS rate FROM (SELECT unnest(entities, recursive := true) FROM extractions) WHERE type = 'Technique'",
+    "math_fill_rate": "SELECT techniques, filled, round(coalesce(filled / nullif(2 * techniques - filled, 0), 1.0)::double, 6) AS rate FROM (SELECT count(*) AS techniques, count(*) FILTER (lower(coalesce(mathematical_structure, '')) NOT IN ('', 'none', 'n/a')) AS filled FROM (SELECT unnest(entities, recursive := true) FROM extractions) WHERE type = 'Technique')",
     "co_citation": G + ", ci AS (SELECT DISTINCT src_id AS citing, dst_id AS paper FROM ge WHERE edge_type = 'CITES'), ho AS (SELECT DISTINCT src_id AS paper, dst_id AS item FROM ge WHERE edge_type IN ('INTRODUCES', 'EVALUATES_ON')), c AS (SELECT item, paper, citing FROM ho JOIN ci USING (paper)) SELECT DISTINCT e.src_id, e.edge_type, e.dst_id FROM ge e JOIN c a ON a.item = e.src_id JOIN c b ON b.item = e.dst_id AND a.citing = b.citing AND a.paper <> b.paper WHERE e.edge_type NOT IN ('CITES', 'INTRODUCES', 'EVALUATES_ON')",
     "bottleneck_finder": G + "SELECT dst_id, count(*) FILTER (edge_type = 'HAS_LIMITATION') AS limits, count(*) FILTER (edge_type = 'MITIGATES') AS mitigated FROM ge WHERE edge_type IN ('HAS_LIMITATION', 'MITIGATES') AND dst_type = 'Problem' GROUP BY 1 ORDER BY limits - mitigated DESC, dst_id LIMIT 20",
     "feedback_export_json": "SELECT event_id, user_id, event_type, value FROM events",

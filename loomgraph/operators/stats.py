@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.graph import G, NODE_TYPES, VENUES, edge_type_dim, edges, latest_papers, nodes, relation_rows, sql_list, sql_values, venue_dim
-from loomgraph.runtime import read
+from loomgraph.plans.graph import G, NODE_TYPES, VENUES, edge_type_dim, edges, latest_papers, linked_edges, nodes, relation_rows, sql_list, sql_values, undirected, venue_dim
+from loomgraph.runtime import cut, read
 
 # Which types each relation may join, for the direction check.
 DIRECTIONS = [
@@ -26,6 +26,10 @@ VAGUE_JUDGE = ["existing methods", "existing approaches", "previous methods", "p
 GENERIC_DATASETS = ["i.i.d.", "datasets", "large-scale", "real-world", "synthetic", "training data", "test data", "benchmark data"]
 
 
+#: Rounds of label propagation.
+COMMUNITY_ROUNDS = 5
+
+
 def edge_counts(spark: SparkSession, d: str) -> DataFrame:
     """Edges per type, types without edges with 0."""
     n = edges(spark, d).groupBy("edge_type").agg(F.count("*").alias("n"))
@@ -63,8 +67,24 @@ def community_overview(nodes_in: DataFrame, community: str, top: int = 50) -> Da
     return best.select(F.col(community).alias("community"), "total", F.col("b.node_type").alias("dominant")).orderBy(F.desc("total"), "community").limit(top)
 
 
+def communities(arcs: DataFrame, n: DataFrame, rounds: int = COMMUNITY_ROUNDS) -> DataFrame:
+    """(node_id, community) by label propagation: in each round every node takes the label that most of its edges lead to, the
+    smallest of equals; nodes without edges keep their own. arcs(node_id, other_id) go both ways. Labels are counted before
+    they meet, so a hub is a count."""
+    arcs, labels = cut(arcs), n.select("node_id", F.col("node_id").alias("community"))
+    for _ in range(rounds):
+        said = arcs.join(labels.withColumnRenamed("node_id", "other_id"), "other_id").groupBy("node_id", "community").agg(F.count("*").alias("c"))
+        best = said.groupBy("node_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "community")).alias("b")).select("node_id", F.col("b.community").alias("new"))
+        labels = cut(labels.join(best, "node_id", "left").select("node_id", F.coalesce("new", "community").alias("community")))
+    return labels
+
+
+def q_communities(spark: SparkSession, d: str) -> DataFrame:
+    return communities(undirected(linked_edges(spark, d)).select("node_id", "other_id"), nodes(spark, d))
+
+
 def q_community_overview(spark: SparkSession, d: str) -> DataFrame:
-    return community_overview(nodes(spark, d).withColumn("community", F.length("name") % 13), "community")
+    return community_overview(nodes(spark, d).select("node_id", "node_type").join(q_communities(spark, d), "node_id"), "community")
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -162,10 +182,16 @@ def accuracy(verdicts: DataFrame, group: str) -> DataFrame:
     return per.agg(F.count("*").alias("groups"), F.round(F.avg("a"), 6).alias("accuracy"))
 
 
-def q_relation_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Kept relations as correct ones, averaged by record."""
-    kept = relation_clean(read(spark, d, "extractions")).select("record_id", F.col("drop_reason").isNull().alias("correct"))
-    return accuracy(kept, "record_id")
+def q_eval_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The extraction report: records that pass the schema checks, mean accuracy of entities (named and of a known type) and of
+    relations (kept by the cleaning), and whether each is above the gate of 0.8."""
+    x = read(spark, d, "extractions")
+    e = x.select("record_id", F.inline("entities")).select("record_id", (F.coalesce(F.trim("name"), F.lit("")) != "").alias("named"), F.coalesce(F.col("type").isin(NODE_TYPES), F.lit(False)).alias("typed"))
+    entity = accuracy(e.select("record_id", (F.col("named") & F.col("typed")).alias("correct")), "record_id").select(F.lit("entity").alias("rate"), "groups", "accuracy")
+    kept = relation_clean(x).select("record_id", F.col("drop_reason").isNull().alias("correct"))
+    relation = accuracy(kept, "record_id").select(F.lit("relation").alias("rate"), "groups", "accuracy")
+    schema = schema_conformance(x).agg(F.lit("schema").alias("rate"), F.count("*").alias("groups"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("accuracy")).select("rate", "groups", "accuracy")
+    return entity.unionByName(relation).unionByName(schema).withColumn("passes", F.when(F.col("rate") == "schema", F.col("accuracy") >= 1.0).otherwise(F.col("accuracy") > 0.8))
 
 
 def q_novelty_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -191,6 +217,10 @@ conf AS (SELECT x.record_id, coalesce(no_structure, 0)::int AS no_structure, coa
   coalesce(self_references, 0) = 0 AND coalesce(reversed, 0) = 0 AS passed FROM extractions x LEFT JOIN ea USING (record_id) LEFT JOIN ra USING (record_id))"""
 _CITED = G + """, c AS (SELECT DISTINCT src_id, dst_id FROM ge WHERE edge_type = 'CITES'),
 dg AS (SELECT node_id, (SELECT count(*) FROM c WHERE src_id = node_id) AS o, (SELECT count(*) FROM c WHERE dst_id = node_id) AS i FROM gn WHERE node_type = 'Paper')"""
+_COMM = G + ", bi AS MATERIALIZED (SELECT src_id AS node_id, dst_id AS other_id FROM gl UNION ALL SELECT dst_id, src_id FROM gl), c0 AS (SELECT node_id, node_id AS community FROM gn)" + "".join(
+    f", b{k} AS MATERIALIZED (SELECT node_id, min((-c, community)) AS m FROM (SELECT bi.node_id, community, count(*) AS c FROM bi JOIN c{k - 1} l ON other_id = l.node_id GROUP BY 1, 2) GROUP BY 1), c{k} AS MATERIALIZED (SELECT l.node_id, coalesce(m[2], community) AS community FROM c{k - 1} l LEFT JOIN b{k} USING (node_id))"
+    for k in range(1, COMMUNITY_ROUNDS + 1)
+) + f", lb AS (SELECT * FROM c{COMMUNITY_ROUNDS})"
 _TIERS = sql_values([(v, t) for t, vs in VENUES.items() for v in vs])
 
 QUERIES = {
@@ -209,7 +239,8 @@ QUERIES = {
     "relation_clean": q_relation_clean,
     "schema_conformance": q_schema_conformance,
     "schema_pass_rate": q_schema_pass_rate,
-    "eval_rates": q_relation_accuracy,
+    "eval_rates": q_eval_rates,
+    "community_detection": q_communities,
     "novelty_mix": q_novelty_mix,
 }
 SQL = {
@@ -220,7 +251,8 @@ SQL = {
     "year_distribution": G + "SELECT year, count(*) AS n FROM gp WHERE year IS NOT NULL GROUP BY 1",
     "tier_distribution": G + f"SELECT coalesce(tier, 6) AS tier, count(*) AS n FROM gp LEFT JOIN (VALUES {_TIERS}) v(k, tier) ON lower(trim(venue, ' ')) = k GROUP BY 1",
     "hypothesis_summary": "SELECT count(*) AS total, coalesce(sum(feedback_up), 0)::bigint AS up, coalesce(sum(feedback_down), 0)::bigint AS down FROM hypotheses",
-    "community_overview": G + ", x AS (SELECT length(name) % 13 AS community, node_type, count(*) AS n FROM gn GROUP BY 1, 2) SELECT community::int AS community, sum(n)::bigint AS total, (arg_min(node_type, (-n, node_type))) AS dominant FROM x GROUP BY 1 ORDER BY total DESC, community LIMIT 50",
+    "community_overview": _COMM + ", x AS (SELECT community, node_type, count(*) AS n FROM lb JOIN gn USING (node_id) GROUP BY 1, 2) SELECT community, sum(n)::bigint AS total, (arg_min(node_type, (-n, node_type))) AS dominant FROM x GROUP BY 1 ORDER BY total DESC, community LIMIT 50",
+    "community_detection": _COMM + " SELECT node_id, community FROM lb",
     "degree_top_cited": _CITED + "SELECT node_id, o AS out_degree, i AS in_degree FROM dg ORDER BY i DESC, node_id LIMIT 10",
     "citation_graph_stats": _CITED + "SELECT count(*) AS papers, sum(o)::bigint AS edges_out, round(avg(o), 2) AS avg_out, round(avg(i), 2) AS avg_in, max(o) AS max_out, max(i) AS max_in, count(*) FILTER (o = 0 AND i = 0) AS isolated FROM dg",
     "isolated_papers": _CITED + "SELECT node_id FROM dg WHERE o = 0 AND i = 0",
@@ -228,6 +260,7 @@ SQL = {
     "relation_clean": f"WITH {_REL} SELECT record_id, count(*) FILTER (drop_reason IS NULL) AS kept, count(*) FILTER (drop_reason = 'self_reference') AS self_reference, count(*) FILTER (drop_reason = 'wrong_types') AS wrong_types, count(*) FILTER (drop_reason = 'vague_target') AS vague_target, count(*) FILTER (drop_reason = 'invalid_types') AS invalid_types FROM clean GROUP BY 1",
     "schema_conformance": _CONF + " SELECT * FROM conf",
     "schema_pass_rate": _CONF + " SELECT count(*) AS records, round(avg(passed::int), 6) AS pass_rate FROM conf",
-    "eval_rates": f"WITH {_REL} SELECT count(*) AS groups, round(avg(a), 6) AS accuracy FROM (SELECT record_id, avg((drop_reason IS NULL)::int) AS a FROM clean GROUP BY 1)",
+    "eval_rates": _CONF + f""", er AS (SELECT record_id, avg((coalesce(trim(e.name, ' '), '') <> '' AND coalesce(e.type IN ({sql_list(NODE_TYPES)}), false))::int) AS a FROM ent GROUP BY 1), rr AS (SELECT record_id, avg((drop_reason IS NULL)::int) AS a FROM clean GROUP BY 1),
+u AS (SELECT 'entity' AS rate, count(*) AS groups, round(avg(a), 6) AS accuracy FROM er UNION ALL SELECT 'relation', count(*), round(avg(a), 6) FROM rr UNION ALL SELECT 'schema', count(*), round(avg(passed::int), 6) FROM conf) SELECT *, CASE WHEN rate = 'schema' THEN accuracy >= 1.0 ELSE accuracy > 0.8 END AS passes FROM u""",
     "novelty_mix": "SELECT novelty.classification AS classification, count(*) AS n, round(avg(novelty.confidence), 6) AS confidence FROM extractions GROUP BY 1",
 }

@@ -153,7 +153,7 @@ gp AS (SELECT * FROM (SELECT title, coalesce(arxiv_id, '') AS arxiv_id, ingested
   FROM papers WHERE title IS NOT NULL) WHERE rn = 1),
 gn AS (SELECT 'Paper:' || title AS node_id, 'Paper' AS node_type, title AS name, coalesce(significance, 0.5) AS significance, year, nullif(venue, '') AS venue FROM gp
   UNION ALL SELECT DISTINCT t || ':' || name, t, name, 0.5, CAST(NULL AS INT), CAST(NULL AS VARCHAR) FROM (SELECT {sql_label('type', NODE_TYPES[1:])} AS t, name FROM entities) WHERE t IS NOT NULL AND name IS NOT NULL),
-gr AS (SELECT source, {sql_label('source_type', NODE_TYPES)} AS st, {sql_label('relation', _RELS)} AS rel, target, {sql_label('target_type', NODE_TYPES)} AS tt, confidence FROM relations),
+gr AS (SELECT relation_id, arxiv_id, source, {sql_label('source_type', NODE_TYPES)} AS st, {sql_label('relation', _RELS)} AS rel, target, {sql_label('target_type', NODE_TYPES)} AS tt, confidence FROM relations),
 ge AS MATERIALIZED (SELECT st || ':' || source AS src_id, rel AS edge_type, tt || ':' || target AS dst_id, st AS src_type, tt AS dst_type, max(confidence) AS confidence, count(*) AS n
   FROM gr WHERE st IS NOT NULL AND rel IS NOT NULL AND tt IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 gl AS (SELECT * FROM ge WHERE src_id IN (SELECT node_id FROM gn) AND dst_id IN (SELECT node_id FROM gn)),

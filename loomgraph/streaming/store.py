@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,12 @@ class KeyedStore:
         self.batch, self.mark, self.jobs = saved.get("batch", -1), saved.get("mark"), saved.get("jobs", [])
 
     def _read(self, buckets: set[int]) -> DataFrame:
-        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(self.at.items()) if b in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], ROWS)
-        return self.spark.read.schema(ROWS).option("basePath", self.path).parquet(*paths).withColumn("bucket", self._bucket()).select("bucket", "kind", "key", "ord", "value")
+        by_version: dict[int, list[int]] = {}
+        for b, v in sorted(self.at.items()):
+            if b in buckets:
+                by_version.setdefault(v, []).append(b)
+        parts = [self.spark.read.schema(ROWS).option("basePath", f"{self.path}/v{v}").parquet(*(f"{self.path}/v{v}/bucket={b}" for b in bs)).select("bucket", "kind", "key", "ord", "value") for v, bs in by_version.items()]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], ROWS)
 
     def _bucket(self):
         return F.pmod(F.xxhash64("kind", "key"), F.lit(self.buckets)).cast("int")
