@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["loomgraph.operators.orphans", "loomgraph.operators.nested", "loomgraph.operators.stats", "loomgraph.functions.scoring", "loomgraph.operators.explore", "loomgraph.operators.resolve", "loomgraph.operators.iterate", "loomgraph.operators.falsify", "loomgraph.operators.rank", "loomgraph.operators.search", "loomgraph.sources.feeds", "loomgraph.streaming.ingest", "loomgraph.streaming.merge", "loomgraph.operators.display", "loomgraph.operators.reports"]
+MODULES = ["loomgraph.operators.orphans", "loomgraph.operators.nested", "loomgraph.operators.stats", "loomgraph.functions.scoring", "loomgraph.operators.explore", "loomgraph.operators.resolve", "loomgraph.operators.iterate", "loomgraph.operators.falsify", "loomgraph.operators.rank", "loomgraph.operators.search", "loomgraph.sources.feeds", "loomgraph.streaming.ingest", "loomgraph.streaming.merge", "loomgraph.operators.display", "loomgraph.operators.paths", "loomgraph.operators.reports"]
 
 
 def queries() -> dict:
