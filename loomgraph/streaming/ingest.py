@@ -20,13 +20,14 @@ def caught_up(query) -> None:
         raise query.exception()
 
 
-def ingest(source: DataFrame, path: str, key: str, order: str, columns: list[str]) -> KeyedStore:
-    """Upserts a stream of rows into a keyed store (last by `order` wins, then by the columns' values): a micro-batch rewrites
-    the buckets that it touches and no other, and counts once however often it is tried."""
+def ingest(source: DataFrame, path: str, key: str, columns: list[str], order: str | None = None) -> KeyedStore:
+    """Upserts a stream of rows into a keyed store: the last by the time `order` wins, then by the columns' values; without an
+    order, the micro-batch that came last. A micro-batch rewrites the buckets that it touches and no other, and counts once
+    however often it is tried."""
     spark = source.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        at = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(2**62)))
+        at = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(2**62))) if order else F.lit(batch_id).cast("long")
         rows = batch.select(F.lit("row").alias("kind"), F.col(key).alias("key"), at.alias("ord"), F.to_json(F.struct(*columns)).alias("value"))
         KeyedStore(spark, f"{path}/store").upsert(rows, batch_id)
 
@@ -40,7 +41,7 @@ def q_ingest(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "papers").select("title", F.coalesce("arxiv_id", F.lit("")).alias("arxiv_id"), "ingested_at")
     p.repartition(3).write.parquet(f"{path}/in")
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    rows = ingest(stream, path, "title", "ingested_at", ["arxiv_id"]).rows()
+    rows = ingest(stream, path, "title", ["arxiv_id"], "ingested_at").rows()
     at = F.timestamp_micros("ord").cast("timestamp_ntz")
     return rows.select(F.col("key").alias("title"), F.get_json_object("value", "$.arxiv_id").alias("arxiv_id"), F.when(F.col("ord") > -(2**62), at).alias("ingested_at"))
 
