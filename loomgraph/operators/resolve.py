@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from loomgraph.plans.graph import NODE_TYPES, as_label, sql_label, sql_values
 from loomgraph.runtime import cut, read
 
 LINK, MERGE, BLOCK = 0.85, 0.95, 0.6
+#: Most tokens of a name that meets others by sets of tokens; most letters of one whose parts are looked up; letters of a mark of
+#: longer ones; bits of the table of names (64 a row); names of one mark that meet the others in a task.
+SETS, LETTERS, GRAM, BITS, CROWD = 8, 64, 3, 1 << 24, 500
 #: Separators between tokens of a name.
 SEPARATORS = r"[\s\-_/]+"
 # Canonical names and their aliases.
@@ -86,60 +92,141 @@ def pair_confidence(string_sim: Column, alias_match: Column, embedding: Column |
     return (string_sim * ws + alias_match.cast("double") * 0.2 + e * we + j * wj) / (ws + 0.2 + we + wj)
 
 
-def block_by_token(entities: DataFrame, most: float = BLOCK) -> DataFrame:
-    """entities(id, node_type, norm, norm_known) -> candidate pairs of one type with similarity from `most` on.
+def subsets_dim(spark: SparkSession, most: float) -> DataFrame:
+    """(n, m, places): for sets of n tokens that are to meet sets of m, each choice of as many of the n places as both must have
+    in common. For n and m up to SETS only."""
+    common = lambda n, m: math.ceil((n + m) * (most / (1 + most)) - 1e-9)
+    near = [(n, m) for n in range(1, SETS + 1) for m in range(1, SETS + 1) if common(n, m) <= min(n, m)]
+    return spark.createDataFrame([(n, m, list(c)) for n, m in near for c in combinations(range(n), common(n, m))], "n int, m int, places array<int>")
+
 
-    Complete for this threshold without comparing all pairs: token sets of n and m need `o` tokens in common, so of either the
-    n - o + 1 rarest, in one fixed order, hold a common one, and only those are joined, by the sizes of both. A contained name
-    meets the longer one by its rarest trigram; one of two letters by the pairs of letters of three-letter names.
-    Equal names are one row before the join, so repeats do not multiply.
+def alike_tokens(names: DataFrame, most: float) -> DataFrame:
+    """names(node_type, norm, ts, ...) -> pairs of rows x, y with x.norm < y.norm whose token sets `ts` are alike by `most`.
+
+    Sets of n and m need `o` tokens in common. Up to SETS tokens they meet by all choices of o tokens, so what meets is alike; of
+    the choices that two have in common the first one counts. A choice of many names ("collapse of ... codes") is met in parts. Longer ones meet by the n - o + 1 rarest tokens, in one fixed
+    order, of which either holds a common one; by both sizes.
     """
-    names = entities.groupBy("node_type", "norm").agg(F.min("id").alias("id"))
-    size = F.length("norm")
-    sub = lambda k: lambda i: F.substring(F.col("norm"), i, F.lit(k))
-    grams = F.when(size >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 2)), sub(3))).otherwise(F.array())
-    pairs = F.when(size == 2, F.array("norm")).when(size == 3, F.transform(F.array(F.lit(1), F.lit(2)), sub(2))).otherwise(F.array())
-    kinds = lambda kind: lambda m: F.concat(F.lit(f"{kind}:"), m)
-    marks = F.concat(F.transform(F.split("norm", SEPARATORS), kinds("t")), F.transform(grams, kinds("g")), F.transform(pairs, kinds("s")))
-    marked = cut(names.select("node_type", "norm", F.explode(F.array_distinct(marks)).alias("mark")))
-    rarity = marked.groupBy("node_type", "mark").agg(F.count("*").alias("df"))
-    each = marked.join(rarity, ["node_type", "mark"])
-    per = each.groupBy("node_type", "norm", F.substring("mark", 1, 1).alias("kind")).agg(F.array_sort(F.collect_list(F.struct("df", "mark"))).alias("ms"))
-    sized = per.filter("kind = 't'").withColumn("n", F.size("ms"))
-    sized = sized.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * most - 1e-9).cast("int"), F.floor(F.col("n") / most + 1e-9).cast("int"))))
+    sized = names.select(F.struct(*names.columns).alias("x"), "node_type", "norm", "ts", F.size("ts").alias("n"))
+    chosen = sized.join(F.broadcast(subsets_dim(names.sparkSession, most)), "n")
+    few = chosen.select("x", "node_type", "n", "m", F.xxhash64(F.transform("places", lambda i: F.col("ts")[i])).alias("mark"), F.size("places").alias("o"))
+
+    each = sized.filter(F.col("n") > int(SETS * most)).select("node_type", "norm", "n", F.explode("ts").alias("mark"))
+    rarity = each.groupBy("node_type", "mark").agg(F.count("*").alias("df"))
+    many = each.join(rarity, ["node_type", "mark"]).groupBy("node_type", "norm", "n").agg(F.array_sort(F.collect_list(F.struct("df", "mark"))).alias("ms"))
+    many = many.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * most - 1e-9).cast("int"), F.floor(F.col("n") / most + 1e-9).cast("int")))).filter(F.greatest("n", "m") > SETS)
     common = F.ceil((F.col("n") + F.col("m")) * (most / (1 + most)) - 1e-9).cast("int")
-    t = cut(sized.withColumn("k", F.col("n") - common + 1).filter("k > 0").select("node_type", "norm", "n", "m", F.explode(F.expr("slice(ms, 1, k)")).alias("x")).select("node_type", "norm", "n", "m", F.col("x.mark").alias("mark")))
-    t2 = t.select("node_type", F.col("norm").alias("norm2"), F.col("n").alias("m"), F.col("m").alias("n"), "mark")
-    by_token = t.join(t2, ["node_type", "mark", "n", "m"]).filter("norm < norm2").select("node_type", F.col("norm").alias("a"), F.col("norm2").alias("b"))
-    probe = per.filter("kind = 'g' or kind = 's' and length(norm) = 2").select("node_type", "norm", F.element_at("ms", 1)["mark"].alias("mark"))
-    inside = probe.join(marked.filter("mark not like 't:%'").withColumnRenamed("norm", "norm2"), ["node_type", "mark"])
-    inside = inside.filter(F.expr("norm <> norm2 and contains(norm2, norm)") & (F.length("norm") >= F.length("norm2") * (most - 1e-9)))
-    met = by_token.unionByName(inside.select("node_type", F.least("norm", "norm2").alias("a"), F.greatest("norm", "norm2").alias("b")))
-    return met.withColumn("similarity", string_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= most).distinct()
+    many = many.withColumn("k", F.col("n") - common + 1).filter("k > 0").select("node_type", "norm", "n", "m", F.explode(F.expr("slice(ms, 1, k)"))).select("node_type", "norm", "n", "m", F.col("col.mark").alias("mark"))
+    many = cut(many)
+
+    def meet(t: DataFrame) -> DataFrame:
+        key = ["node_type", "mark", "n", "m"]
+        crowded = cut(t.groupBy(*key).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).filter("parts > 1"))
+        here = t.join(crowded, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("x.norm"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        other = t.select("node_type", F.col("x").alias("y"), F.col("n").alias("m"), F.col("m").alias("n"), "mark").join(crowded, key, "left")
+        other = other.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return here.join(other, [*key, "part"]).filter("x.norm < y.norm")
+
+    both = F.array_intersect("x.ts", "y.ts")
+    short = meet(few).filter(F.xxhash64(F.expr("slice(array_intersect(x.ts, y.ts), 1, o)")) == F.col("mark")).select("x", "y")
+    keys = meet(many.withColumn("x", F.struct("norm"))).select("node_type", F.col("x.norm").alias("a"), F.col("y.norm").alias("b")).distinct()
+    pairs = short.unionByName(_rows_of(keys, names))
+    alike = F.size(both) / (F.size("x.ts") + F.size("y.ts") - F.size(both))
+    return pairs.withColumn("alike", alike).filter(F.col("alike") >= most)
+
+
+def _rows_of(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """keys(node_type, a, b) -> the rows x, y of names with these norms."""
+    row = lambda key, x: names.select("node_type", F.col("norm").alias(key), F.struct(*names.columns).alias(x))
+    return keys.join(row("a", "x"), ["node_type", "a"]).join(row("b", "y"), ["node_type", "b"]).select("x", "y")
+
 
+def contained(names: DataFrame, most: float) -> DataFrame:
+    """(node_type, a, b), a < b: the pairs of which one name contains the other and is at least `most` of it long.
 
-def candidates(names: DataFrame, most: float = BLOCK) -> DataFrame:
-    """names(node_type, name, norm, norm_known), each name once -> (node_type, a, b, similarity, alias).
+    Of a name of up to LETTERS letters every part so long is looked up among the names. Most parts are none: those go by a
+    table of BITS bits, where each name sets one. A longer name meets the shorter ones by their rarest trigram or pair of letters.
+    """
+    sub = lambda i, k: F.substring(F.col("norm"), i, k)
+    size = F.length("norm")
+    least = F.ceil(size * (most - 1e-9)).cast("int")
+    short = names.filter((size >= 2) & (size <= LETTERS))
+    lengths = F.sequence(F.greatest(F.lit(1), least), size - 1)
+    fits = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: sub(i, k))))
+    parts = short.filter(least < size).select("node_type", F.col("norm").alias("longer"), F.explode(F.array_distinct(fits)).alias("norm"))
+    bit = F.pmod(F.xxhash64("node_type", "norm"), F.lit(BITS))
+    at = lambda df: df.withColumns({"word": F.shiftright(bit, 6), "bit": (bit % 64).cast("int")})
+    words = at(names).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    maybe = at(parts).join(F.broadcast(words), "word").filter("shiftright(bits, bit) & 1 = 1").select("node_type", "norm", "longer")
+    within = maybe.join(names.select("node_type", "norm"), ["node_type", "norm"])
+
+    wide = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - k + 1)), lambda i: sub(i, F.lit(k)))
+    marks = cut(names.filter(size > LETTERS).select("node_type", F.col("norm").alias("longer"), F.explode(F.array_distinct(wide(GRAM))).alias("mark")))
+    rarity = marks.groupBy("node_type", "mark").agg(F.count("*").alias("df"))
+    probes = names.filter(size >= F.greatest(F.lit(GRAM), F.lit(int((LETTERS + 1) * (most - 1e-9))))).select("node_type", "norm", F.explode(wide(GRAM)).alias("mark"))
+    rarest = probes.join(rarity, ["node_type", "mark"], "left").groupBy("node_type", "norm").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "mark")).alias("x"))
+    beyond = rarest.filter("x.df > 0").select("node_type", "norm", F.col("x.mark").alias("mark")).join(marks, ["node_type", "mark"])
+    beyond = beyond.filter(F.expr("norm <> longer and contains(longer, norm)") & (size >= F.length("longer") * (most - 1e-9)))
+    both = within.unionByName(beyond.select("node_type", "norm", "longer"))
+    return both.select("node_type", F.least("norm", "longer").alias("a"), F.greatest("norm", "longer").alias("b"))
+
+
+def alike_names(names: DataFrame, most: float) -> DataFrame:
+    """names(node_type, norm, ...), each norm of a type once -> (x, y, similarity): pairs of rows of one type, x.norm < y.norm,
+    with similarity from `most` on.
+
+    Complete for this threshold without comparing all pairs, see alike_tokens and contained. Pairs grow faster than names, so
+    no pair is shuffled that is found by its tokens, and none has its names split again.
+    """
+    names = cut(names.withColumn("ts", F.array_sort(F.array_distinct(F.split("norm", SEPARATORS)))))
+    tokens = alike_tokens(names, most)
+    la, lb = F.length("x.norm"), F.length("y.norm")
+    share = F.least(la, lb) / F.greatest(la, lb)
+    inside = F.when(F.greatest(la, lb) == 0, 0.0).when(F.expr("contains(x.norm, y.norm) or contains(y.norm, x.norm)"), share).otherwise(0.0)
+    tokens = tokens.select("x", "y", F.greatest("alike", inside).alias("similarity"))
+    both = F.array_intersect("x.ts", "y.ts")
+    rest = _rows_of(contained(names, most), names).filter(F.size(both) / (F.size("x.ts") + F.size("y.ts") - F.size(both)) < most)
+    return tokens.unionByName(rest.select("x", "y", share.alias("similarity")).filter(F.col("similarity") >= most))
+
+
+def block_by_token(entities: DataFrame, most: float = BLOCK) -> DataFrame:
+    """entities(id, node_type, norm, norm_known) -> pairs (node_type, a, b, similarity) of norms, see alike_names."""
+    met = alike_names(entities.select("node_type", "norm").distinct(), most)
+    return met.select("x.node_type", F.col("x.norm").alias("a"), F.col("y.norm").alias("b"), "similarity")
+
+
+def candidates(names: DataFrame, most: float = BLOCK, scores: DataFrame | None = None) -> DataFrame:
+    """names(node_type, name, norm, norm_known), each name once -> (node_type, a, b, similarity, alias), a < b.
 
     Names of one normal form meet their first name in byte order, with similarity 1 (all pairs of a form follow from these);
-    alias tells whether the form is of the alias table. Forms that are alike (see block_by_token) meet by their first names.
+    alias tells whether the form is of the alias table. Forms that are alike (see alike_names) meet by their first names.
+    scores(a, b, score), each pair once, a < b: adds `score`, which goes with the names, so that no pair is shuffled for it.
     """
-    first = names.groupBy("node_type", "norm").agg(F.min("name").alias("a"))
-    star = names.join(first, ["node_type", "norm"]).filter("name <> a").select("node_type", "a", F.col("name").alias("b"), F.lit(1.0).alias("similarity"), F.col("norm_known").alias("alias"))
-    forms = block_by_token(names.select("node_type", F.col("name").alias("id"), "norm"), most)
-    of = lambda x: first.select("node_type", F.col("norm").alias(x), F.col("a").alias(f"name_{x}"))
-    between = forms.join(of("a"), ["node_type", "a"]).join(of("b"), ["node_type", "b"])
-    return star.unionByName(between.select("node_type", F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "similarity", F.lit(False).alias("alias")))
+    first = names.groupBy("node_type", "norm").agg(F.min("name").alias("id"))
+    extra = []
+    if scores is not None:
+        of = scores.groupBy(F.col("a").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("b", "score"))).alias("scores"))
+        first, extra = first.join(of, "id", "left"), ["score"]
+    first = cut(first)
+    told = lambda df: df.withColumn("score", F.expr("try_element_at(scores, b)")) if extra else df
+    star = names.join(first, ["node_type", "norm"]).filter("name <> id").select("node_type", F.col("id").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("similarity"), F.col("norm_known").alias("alias"), *["scores"] * len(extra))
+    met = alike_names(first, most)
+    low = F.col("x.id") < F.col("y.id")
+    between = met.select("x.node_type", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "similarity", F.lit(False).alias("alias"), *[F.when(low, F.col("x.scores")).otherwise(F.col("y.scores")).alias("scores") for _ in extra])
+    return told(star).unionByName(told(between)).select("node_type", "a", "b", "similarity", "alias", *extra)
+
+
+def best_scores(embedding: DataFrame) -> DataFrame:
+    """embedding(a, b, score) in either order -> each pair once, a < b, with its best score."""
+    return embedding.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
 
 def resolve(pairs: DataFrame, embedding: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (similarity, alias) -> confidence and decision. embedding(a, b, score): in either order, where known."""
-    score = None
+    """Candidate pairs (similarity, alias, perhaps score) -> confidence and decision. embedding(a, b, score): in either order,
+    where known, if the pairs have no score yet."""
     if embedding is not None:
-        key = [F.least("a", "b").alias("k1"), F.greatest("a", "b").alias("k2")]
-        best = embedding.select(*key, "score").groupBy("k1", "k2").agg(F.max("score").alias("score"))
-        pairs = pairs.withColumns({"k1": F.least("a", "b"), "k2": F.greatest("a", "b")}).join(best, ["k1", "k2"], "left").drop("k1", "k2")
-        score = F.col("score")
+        pairs = pairs.withColumns({"k1": F.least("a", "b"), "k2": F.greatest("a", "b")}).join(best_scores(embedding).toDF("k1", "k2", "score"), ["k1", "k2"], "left").drop("k1", "k2")
+    score = F.col("score") if "score" in pairs.columns else None
     c = pair_confidence(F.col("similarity"), F.col("alias"), score)
     return pairs.withColumn("confidence", F.round(c, 6)).withColumn("decision", F.when(F.col("confidence") >= MERGE, "merge").when(F.col("confidence") >= LINK, "link").otherwise("none"))
 
@@ -182,7 +269,7 @@ def q_candidates_sorted(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     """With the scores of entity_pairs as the embedding signal, where there is one."""
     p = read(spark, d, "entity_pairs").filter("name_a is not null and name_b is not null and confidence is not null")
-    return resolve(candidates(_named(spark, d)), p.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.col("confidence").alias("score")))
+    return resolve(candidates(_named(spark, d), scores=best_scores(p.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.col("confidence").alias("score")))))
 
 
 def q_resolve(spark: SparkSession, d: str) -> DataFrame:

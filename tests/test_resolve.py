@@ -1,8 +1,10 @@
 import random
 import re
 
+import pytest
+
 from loomgraph import registry
-from loomgraph.operators.resolve import SEPARATORS, alias_dim, candidates, normalized, resolve
+from loomgraph.operators.resolve import SEPARATORS, alias_dim, block_by_token, candidates, normalized, resolve
 
 
 def similar(a, b):
@@ -36,3 +38,27 @@ def test_aliases_merge_and_link(spark):
     said = spark.createDataFrame([("transformer model", "Transformer", 0.6), ("GRU", "Gated Recurrent Unit", 0.1)], "a string, b string, score double")
     with_scores = {(r.a, r.b): r.decision for r in resolve(pairs, said).filter("similarity = 1").collect()}
     assert with_scores[("Transformer", "transformer model")] == "link" and with_scores[("GRU", "Gated Recurrent Unit")] == "none" and with_scores[("Transformer", "Transformer Architecture ")] == "merge"
+
+
+@pytest.mark.parametrize("crowd", [2, 500])
+def test_long_and_odd_names_are_blocked_as_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr("loomgraph.operators.resolve.CROWD", crowd)
+    rnd = random.Random(9)
+    words = ["deep", "slow", "mixing", "tilo", "samado", "nori", "net", "", "ab"]
+    names = {" ".join(rnd.choices(words, k=rnd.choice([2, 3, 4, 5, 8, 9, 12, 16]))).strip() for _ in range(120)}
+    names |= {x[: len(x) - k] for x in list(names) if len(x) > 50 for k in (1, 9)} | {"x" * n for n in (1, 2, 3, 63, 64, 65, 66, 90)} | {"y" * 64 + "z", "y" * 39, "y" * 64}
+    rows = [("Technique", x) for x in sorted({x.strip() for x in names})]
+    df = spark.createDataFrame(rows, "node_type string, norm string")
+    want = {(a, b) for _, a in rows for _, b in rows if a < b and similar(a, b) >= 0.6}
+    got = [(r.a, r.b) for r in block_by_token(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_pairs_of_names_are_not_shuffled(spark, tmp_path):
+    spark.createDataFrame([(1, "Technique", "deep net of codes"), (2, "Technique", "deep net of code")], "entity_id long, type string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([("deep net of code", "deep net of codes", 0.5)], "name_a string, name_b string, confidence double").write.parquet(f"{tmp_path}/entity_pairs.parquet")
+    spark.createDataFrame([], "node_id string, node_type string, name string").write.parquet(f"{tmp_path}/nodes.parquet")
+    for query in ("er_block", "resolve_entities"):
+        plan = registry.queries()[query](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "similarity" in x]
+    assert [r.confidence for r in registry.queries()["resolve_entities"](spark, str(tmp_path)).collect()] == [round(0.5 * (16 / 17) + 0.15, 6)]
