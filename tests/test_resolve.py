@@ -58,7 +58,7 @@ def test_pairs_of_names_are_not_shuffled(spark, tmp_path):
     spark.createDataFrame([(1, "Technique", "deep net of codes"), (2, "Technique", "deep net of code")], "entity_id long, type string, name string").write.parquet(f"{tmp_path}/entities.parquet")
     spark.createDataFrame([("deep net of code", "deep net of codes", 0.5)], "name_a string, name_b string, confidence double").write.parquet(f"{tmp_path}/entity_pairs.parquet")
     spark.createDataFrame([], "node_id string, node_type string, name string").write.parquet(f"{tmp_path}/nodes.parquet")
-    for query in ("er_block", "resolve_entities", "er_duplicate_rate"):
+    for query in ("er_block", "resolve_entities", "er_duplicate_rate", "er_candidates_sorted"):
         plan = registry.queries()[query](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "Exchange" in x and "similarity" in x]
     assert [r.confidence for r in registry.queries()["resolve_entities"](spark, str(tmp_path)).collect()] == [round(0.5 * (16 / 17) + 0.15, 6)]
