@@ -195,12 +195,22 @@ def block_by_token(entities: DataFrame, most: float = BLOCK) -> DataFrame:
     return met.select("x.node_type", F.col("x.norm").alias("a"), F.col("y.norm").alias("b"), "similarity")
 
 
-def candidates(names: DataFrame, most: float = BLOCK, scores: DataFrame | None = None) -> DataFrame:
+def scored_names(first: DataFrame, scores: DataFrame, most: float) -> DataFrame:
+    """alike_names of first(node_type, norm, id, ...) as far as the pair of their ids is one of scores(a, b, ...): (x, y, similarity)."""
+    row = lambda key, x: first.select("node_type", F.col("id").alias(key), F.struct(*first.columns).alias(x))
+    j = scores.select("a", "b").join(row("a", "x"), "a").join(row("b", "y"), ["node_type", "b"]).filter("x.norm <> y.norm")
+    low = F.col("x.norm") < F.col("y.norm")
+    j = j.select(F.when(low, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(low, F.col("y")).otherwise(F.col("x")).alias("y"))
+    return j.withColumn("similarity", string_similarity(F.col("x.norm"), F.col("y.norm"))).filter(F.col("similarity") >= most)
+
+
+def candidates(names: DataFrame, most: float = BLOCK, scores: DataFrame | None = None, only_scored: bool = False) -> DataFrame:
     """names(node_type, name, norm, norm_known), each name once -> (node_type, a, b, similarity, alias), a < b.
 
     Names of one normal form meet their first name in byte order, with similarity 1 (all pairs of a form follow from these);
     alias tells whether the form is of the alias table. Forms that are alike (see alike_names) meet by their first names.
     scores(a, b, score), each pair once, a < b: adds `score`, which goes with the names, so that no pair is shuffled for it.
+    only_scored: leaves out the pairs of two forms that have no score.
     """
     first = names.groupBy("node_type", "norm").agg(F.min("name").alias("id"))
     extra = []
@@ -210,7 +220,7 @@ def candidates(names: DataFrame, most: float = BLOCK, scores: DataFrame | None =
     first = cut(first)
     told = lambda df: df.withColumn("score", F.expr("try_element_at(scores, b)")) if extra else df
     star = names.join(first, ["node_type", "norm"]).filter("name <> id").select("node_type", F.col("id").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("similarity"), F.col("norm_known").alias("alias"), *["scores"] * len(extra))
-    met = alike_names(first, most)
+    met = scored_names(first, scores, most) if only_scored else alike_names(first, most)
     low = F.col("x.id") < F.col("y.id")
     between = met.select("x.node_type", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "similarity", F.lit(False).alias("alias"), *[F.when(low, F.col("x.scores")).otherwise(F.col("y.scores")).alias("scores") for _ in extra])
     return told(star).unionByName(told(between)).select("node_type", "a", "b", "similarity", "alias", *extra)
@@ -266,10 +276,10 @@ def q_candidates_sorted(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
     return q_block(spark, d).orderBy(F.desc("similarity"), "node_type", "a", "b").limit(k)
 
 
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
+def _resolved(spark: SparkSession, d: str, only_scored: bool = False) -> DataFrame:
     """With the scores of entity_pairs as the embedding signal, where there is one."""
     p = read(spark, d, "entity_pairs").filter("name_a is not null and name_b is not null and confidence is not null")
-    return resolve(candidates(_named(spark, d), scores=best_scores(p.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.col("confidence").alias("score")))))
+    return resolve(candidates(_named(spark, d), scores=best_scores(p.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.col("confidence").alias("score"))), only_scored=only_scored))
 
 
 def q_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -277,8 +287,11 @@ def q_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_duplicate_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Per type: names, links, merges, and their share of the names."""
-    found = q_resolve(spark, d).groupBy("node_type").agg(F.count_if(F.col("decision") == "link").alias("links"), F.count_if(F.col("decision") == "merge").alias("merges"))
+    """Per type: names, links, merges, and their share of the names.
+
+    Two forms without a score are never linked, however alike they are: string similarity weighs .7 of .9 there, which is less
+    than LINK. So those pairs, nearly all of them, are not made."""
+    found = _resolved(spark, d, only_scored=True).groupBy("node_type").agg(F.count_if(F.col("decision") == "link").alias("links"), F.count_if(F.col("decision") == "merge").alias("merges"))
     total = _named(spark, d).groupBy("node_type").agg(F.count("*").alias("names"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return total.join(found, "node_type", "left").select("node_type", "names", zero("links").alias("links"), zero("merges").alias("merges"), F.round((zero("links") + zero("merges")) / F.col("names"), 6).alias("rate"))

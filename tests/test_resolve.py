@@ -4,6 +4,7 @@ import re
 import pytest
 
 from loomgraph import registry
+from loomgraph.operators import resolve as resolve_module
 from loomgraph.operators.resolve import SEPARATORS, alias_dim, block_by_token, candidates, normalized, resolve
 
 
@@ -62,3 +63,28 @@ def test_pairs_of_names_are_not_shuffled(spark, tmp_path):
         plan = registry.queries()[query](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "Exchange" in x and "similarity" in x]
     assert [r.confidence for r in registry.queries()["resolve_entities"](spark, str(tmp_path)).collect()] == [round(0.5 * (16 / 17) + 0.15, 6)]
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Names of one form, alike names, scores of some pairs (also high ones, in either order, of names that are no entities)."""
+    rnd = random.Random(3)
+    words = ["deep", "net", "of", "codes", "collapse", "Deep", "gru", *(f"{a}{b}x" for a in "bd" for b in "aeio")]
+    names = sorted({" ".join(rnd.choices(words, k=rnd.randint(1, 5))) for _ in range(150)} | {"GRU", "Gated Recurrent Unit", "transformer model", "Transformer"})
+    rows = [(i, t, x) for i, x in enumerate(names) for t in ("Technique", rnd.choice(["Problem", "Dataset"]))]
+    spark.createDataFrame(rows, "entity_id long, type string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    said = [(rnd.choice(names), rnd.choice([*names, "nowhere"]), rnd.choice([None, 0.2, 0.9, 1.0, 2.0])) for _ in range(4000)]
+    spark.createDataFrame(said, "name_a string, name_b string, confidence double").write.parquet(f"{tmp_path}/entity_pairs.parquet")
+    spark.createDataFrame([("N1", "Technique", "gru "), ("N2", "Problem", "seed only")], "node_id string, node_type string, name string").write.parquet(f"{tmp_path}/nodes.parquet")
+    return str(tmp_path)
+
+
+def test_duplicates_are_counted_without_the_pairs_that_cannot_be(spark, tables, monkeypatch):
+    want: dict = {}
+    for r in registry.queries()["resolve_entities"](spark, tables).collect():
+        want.setdefault(r.node_type, []).append(r.decision)
+    # a string of 1 alone
+    assert spark.range(1).select(resolve_module.pair_confidence(resolve_module.F.lit(1.0), resolve_module.F.lit(False))).first()[0] < resolve_module.LINK
+    monkeypatch.setattr(resolve_module, "alike_names", lambda *_: pytest.fail("all alike names are paired"))
+    got = {r.node_type: (r.links, r.merges) for r in registry.queries()["er_duplicate_rate"](spark, tables).collect()}
+    assert got == {t: (x.count("link"), x.count("merge")) for t, x in want.items()} and sum(map(sum, got.values())) > 9
