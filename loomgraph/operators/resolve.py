@@ -12,6 +12,8 @@ from loomgraph.plans.graph import NODE_TYPES, as_label, sql_label, sql_values
 from loomgraph.runtime import cut, read
 
 LINK, MERGE, BLOCK = 0.85, 0.95, 0.6
+#: Similarities from which the most alike pairs are looked for.
+NEAR = (0.95, 0.8)
 #: Most tokens of a name that meets others by sets of tokens; most letters of one whose parts are looked up; letters of a mark of
 #: longer ones; bits of the table of names (64 a row); names of one mark that meet the others in a task.
 SETS, LETTERS, GRAM, BITS, CROWD = 8, 64, 3, 1 << 24, 500
@@ -273,7 +275,15 @@ def q_block(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_candidates_sorted(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
-    return q_block(spark, d).orderBy(F.desc("similarity"), "node_type", "a", "b").limit(k)
+    """The first k of er_block. Few pairs are very alike, so those come first; where they are less than k, more are looked for."""
+    names = cut(_named(spark, d))
+    order = [F.desc("similarity"), F.col("node_type"), F.col("a"), F.col("b")]
+    for least in [*(x for x in NEAR if x > BLOCK), BLOCK]:
+        pairs = candidates(names, least).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
+        top = cut(pairs.orderBy(*order).limit(k))
+        # what is less alike than `least` comes after these, also when rounded
+        if least == BLOCK or top.filter(F.col("similarity") >= least + 1e-6).count() >= k:
+            return top.orderBy(*order).limit(k)
 
 
 def _resolved(spark: SparkSession, d: str, only_scored: bool = False) -> DataFrame:

@@ -88,3 +88,13 @@ def test_duplicates_are_counted_without_the_pairs_that_cannot_be(spark, tables,
     monkeypatch.setattr(resolve_module, "alike_names", lambda *_: pytest.fail("all alike names are paired"))
     got = {r.node_type: (r.links, r.merges) for r in registry.queries()["er_duplicate_rate"](spark, tables).collect()}
     assert got == {t: (x.count("link"), x.count("merge")) for t, x in want.items()} and sum(map(sum, got.values())) > 9
+
+
+def test_the_most_alike_pairs_are_found_first(spark, tables, monkeypatch):
+    rows = sorted((-r.similarity, r.node_type, r.a, r.b) for r in registry.queries()["er_block"](spark, tables).collect())
+    tried, pairs = [], resolve_module.candidates
+    monkeypatch.setattr(resolve_module, "candidates", lambda names, most: tried.append(most) or pairs(names, most))
+    monkeypatch.setattr(resolve_module, "NEAR", (0.95, 0.7))
+    for k, least in ((3, 0.95), (sum(r[0] <= -0.75 for r in rows), 0.7), (len(rows) + 5, resolve_module.BLOCK)):
+        got = resolve_module.q_candidates_sorted(spark, tables, k).collect()
+        assert [(-r.similarity, r.node_type, r.a, r.b) for r in got] == rows[:k] and tried[-1] == least
