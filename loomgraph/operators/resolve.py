@@ -102,16 +102,23 @@ def subsets_dim(spark: SparkSession, most: float) -> DataFrame:
     return spark.createDataFrame([(n, m, list(c)) for n, m in near for c in combinations(range(n), common(n, m))], "n int, m int, places array<int>")
 
 
+def tokens(norm: str) -> Column:
+    return F.array_sort(F.array_distinct(F.split(norm, SEPARATORS)))
+
+
 def alike_tokens(names: DataFrame, most: float) -> DataFrame:
-    """names(node_type, norm, ts, ...) -> pairs of rows x, y with x.norm < y.norm whose token sets `ts` are alike by `most`.
+    """names(node_type, norm, ts, ...) -> pairs of rows x, y (without ts) with x.norm < y.norm whose token sets `ts` are alike by
+    `most`.
 
     Sets of n and m need `o` tokens in common. Up to SETS tokens they meet by all choices of o tokens, so what meets is alike; of
     the choices that two have in common the first one counts. A choice of many names ("collapse of ... codes") is met in parts. Longer ones meet by the n - o + 1 rarest tokens, in one fixed
     order, of which either holds a common one; by both sizes.
     """
-    sized = names.select(F.struct(*names.columns).alias("x"), "node_type", "norm", "ts", F.size("ts").alias("n"))
+    bare = names.drop("ts")
+    sized = names.select(F.struct(*bare.columns).alias("x"), "node_type", "norm", "ts", F.size("ts").alias("n"))
     chosen = sized.join(F.broadcast(subsets_dim(names.sparkSession, most)), "n")
-    few = chosen.select("x", "node_type", "n", "m", F.xxhash64(F.transform("places", lambda i: F.col("ts")[i])).alias("mark"), F.size("places").alias("o"))
+    few = chosen.select("x", "node_type", "n", "m", "ts", F.transform("places", lambda i: F.col("ts")[i]).alias("chosen"))
+    few = few.select("x", "node_type", "n", "m", F.array_join("chosen", " ").alias("mark"), F.struct(F.size("chosen").alias("o"), F.array_except("ts", "chosen").alias("rest")).alias("left"))
 
     each = sized.filter(F.col("n") > int(SETS * most)).select("node_type", "norm", "n", F.explode("ts").alias("mark"))
     rarity = each.groupBy("node_type", "mark").agg(F.count("*").alias("df"))
@@ -125,16 +132,21 @@ def alike_tokens(names: DataFrame, most: float) -> DataFrame:
         key = ["node_type", "mark", "n", "m"]
         crowded = cut(t.groupBy(*key).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).filter("parts > 1"))
         here = t.join(crowded, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("x.norm"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-        other = t.select("node_type", F.col("x").alias("y"), F.col("n").alias("m"), F.col("m").alias("n"), "mark").join(crowded, key, "left")
+        other = t.select("node_type", F.col("x").alias("y"), F.col("n").alias("m"), F.col("m").alias("n"), "mark", *[F.col("left").alias("right")] * ("left" in t.columns)).join(crowded, key, "left")
         other = other.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        return here.join(other, [*key, "part"]).filter("x.norm < y.norm")
-
-    both = F.array_intersect("x.ts", "y.ts")
-    short = meet(few).filter(F.xxhash64(F.expr("slice(array_intersect(x.ts, y.ts), 1, o)")) == F.col("mark")).select("x", "y")
+        # the few names of a part are held for each of the others, not the other way round
+        return other.join(here, [*key, "part"]).filter("x.norm < y.norm")
+
+    both = F.array_intersect(tokens("x.norm"), tokens("y.norm"))
+    # where nothing else is in common the choice is the only one, and the sets need not be compared
+    alone = ~F.arrays_overlap("left.rest", "right.rest")
+    short = meet(few).filter(alone | (F.array_join(F.slice(both, F.lit(1), F.col("left.o")), " ") == F.col("mark")))
+    short = short.select("x", "y", "n", "m", F.when(alone, F.col("left.o")).otherwise(F.size(both)).alias("common"))
     keys = meet(many.withColumn("x", F.struct("norm"))).select("node_type", F.col("x.norm").alias("a"), F.col("y.norm").alias("b")).distinct()
-    pairs = short.unionByName(_rows_of(keys, names))
-    alike = F.size(both) / (F.size("x.ts") + F.size("y.ts") - F.size(both))
-    return pairs.withColumn("alike", alike).filter(F.col("alike") >= most)
+    sizes = {"n": F.size(tokens("x.norm")), "m": F.size(tokens("y.norm")), "common": F.size(both)}
+    pairs = short.unionByName(_rows_of(keys, bare).withColumns(sizes))
+    alike = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
+    return pairs.select("x", "y", alike.alias("alike")).filter(F.col("alike") >= most)
 
 
 def _rows_of(keys: DataFrame, names: DataFrame) -> DataFrame:
@@ -178,17 +190,17 @@ def alike_names(names: DataFrame, most: float) -> DataFrame:
     with similarity from `most` on.
 
     Complete for this threshold without comparing all pairs, see alike_tokens and contained. Pairs grow faster than names, so
-    no pair is shuffled that is found by its tokens, and none has its names split again.
+    no pair is shuffled that is found by its tokens, and few have their names split again.
     """
-    names = cut(names.withColumn("ts", F.array_sort(F.array_distinct(F.split("norm", SEPARATORS)))))
-    tokens = alike_tokens(names, most)
+    names = cut(names.withColumn("ts", tokens("norm")))
+    met = alike_tokens(names, most)
     la, lb = F.length("x.norm"), F.length("y.norm")
     share = F.least(la, lb) / F.greatest(la, lb)
     inside = F.when(F.greatest(la, lb) == 0, 0.0).when(F.expr("contains(x.norm, y.norm) or contains(y.norm, x.norm)"), share).otherwise(0.0)
-    tokens = tokens.select("x", "y", F.greatest("alike", inside).alias("similarity"))
-    both = F.array_intersect("x.ts", "y.ts")
-    rest = _rows_of(contained(names, most), names).filter(F.size(both) / (F.size("x.ts") + F.size("y.ts") - F.size(both)) < most)
-    return tokens.unionByName(rest.select("x", "y", share.alias("similarity")).filter(F.col("similarity") >= most))
+    met = met.select("x", "y", F.greatest("alike", inside).alias("similarity"))
+    both, all_of = F.size(F.array_intersect(tokens("x.norm"), tokens("y.norm"))), F.size(tokens("x.norm")) + F.size(tokens("y.norm"))
+    rest = _rows_of(contained(names, most), names.drop("ts")).filter(both / (all_of - both) < most)
+    return met.unionByName(rest.select("x", "y", share.alias("similarity")).filter(F.col("similarity") >= most))
 
 
 def block_by_token(entities: DataFrame, most: float = BLOCK) -> DataFrame:

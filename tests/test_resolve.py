@@ -98,3 +98,10 @@ def test_the_most_alike_pairs_are_found_first(spark, tables, monkeypatch):
     for k, least in ((3, 0.95), (sum(r[0] <= -0.75 for r in rows), 0.7), (len(rows) + 5, resolve_module.BLOCK)):
         got = resolve_module.q_candidates_sorted(spark, tables, k).collect()
         assert [(-r.similarity, r.node_type, r.a, r.b) for r in got] == rows[:k] and tried[-1] == least
+
+
+def test_alike_names_carry_no_token_sets(spark):
+    names = spark.createDataFrame([("Technique", "deep net of codes", "D"), ("Technique", "deep net of code", "E"), ("Technique", "net-of codes deep deep", "F")], "node_type string, norm string, id string")
+    got = resolve_module.alike_names(names, 0.6)
+    assert got.schema["x"].dataType.names == got.schema["y"].dataType.names == names.columns
+    assert sorted((*sorted((r.x.id, r.y.id)), round(r.similarity, 6)) for r in got.collect()) == [("D", "E", round(16 / 17, 6)), ("D", "F", 1.0), ("E", "F", 0.6)]
