@@ -107,8 +107,7 @@ def tokens(norm: str) -> Column:
 
 
 def alike_tokens(names: DataFrame, most: float) -> DataFrame:
-    """names(node_type, norm, ts, ...) -> pairs of rows x, y (without ts) with x.norm < y.norm whose token sets `ts` are alike by
-    `most`.
+    """names(node_type, norm, ts, ...) -> pairs of rows x, y (without ts), in either order, whose token sets `ts` are alike by `most`.
 
     Sets of n and m need `o` tokens in common. Up to SETS tokens they meet by all choices of o tokens, so what meets is alike; of
     the choices that two have in common the first one counts. A choice of many names ("collapse of ... codes") is met in parts. Longer ones meet by the n - o + 1 rarest tokens, in one fixed
@@ -130,19 +129,19 @@ def alike_tokens(names: DataFrame, most: float) -> DataFrame:
 
     def meet(t: DataFrame) -> DataFrame:
         key = ["node_type", "mark", "n", "m"]
-        crowded = cut(t.groupBy(*key).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).filter("parts > 1"))
-        here = t.join(crowded, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("x.norm"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-        other = t.select("node_type", F.col("x").alias("y"), F.col("n").alias("m"), F.col("m").alias("n"), "mark", *[F.col("left").alias("right")] * ("left" in t.columns)).join(crowded, key, "left")
+        crowded = cut(t.filter("n <= m").groupBy(*key).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).filter("parts > 1"))
+        here = t.filter("n <= m").join(crowded, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("x.norm"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        other = t.filter("n >= m").select("node_type", F.col("x").alias("y"), F.col("n").alias("m"), F.col("m").alias("n"), "mark", *[F.col("left").alias("right")] * ("left" in t.columns)).join(crowded, key, "left")
         other = other.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         # the few names of a part are held for each of the others, not the other way round
-        return other.join(here, [*key, "part"]).filter("x.norm < y.norm")
+        return other.join(here, [*key, "part"]).filter("n < m or x.norm < y.norm")
 
     both = F.array_intersect(tokens("x.norm"), tokens("y.norm"))
     # where nothing else is in common the choice is the only one, and the sets need not be compared
     alone = ~F.arrays_overlap("left.rest", "right.rest")
     short = meet(few).filter(alone | (F.array_join(F.slice(both, F.lit(1), F.col("left.o")), " ") == F.col("mark")))
     short = short.select("x", "y", "n", "m", F.when(alone, F.col("left.o")).otherwise(F.size(both)).alias("common"))
-    keys = meet(many.withColumn("x", F.struct("norm"))).select("node_type", F.col("x.norm").alias("a"), F.col("y.norm").alias("b")).distinct()
+    keys = meet(many.withColumn("x", F.struct("norm"))).select("node_type", F.least("x.norm", "y.norm").alias("a"), F.greatest("x.norm", "y.norm").alias("b")).distinct()
     sizes = {"n": F.size(tokens("x.norm")), "m": F.size(tokens("y.norm")), "common": F.size(both)}
     pairs = short.unionByName(_rows_of(keys, bare).withColumns(sizes))
     alike = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
@@ -186,7 +185,7 @@ def contained(names: DataFrame, most: float) -> DataFrame:
 
 
 def alike_names(names: DataFrame, most: float) -> DataFrame:
-    """names(node_type, norm, ...), each norm of a type once -> (x, y, similarity): pairs of rows of one type, x.norm < y.norm,
+    """names(node_type, norm, ...), each norm of a type once -> (x, y, similarity): pairs of rows of one type, in either order,
     with similarity from `most` on.
 
     Complete for this threshold without comparing all pairs, see alike_tokens and contained. Pairs grow faster than names, so
@@ -206,7 +205,7 @@ def alike_names(names: DataFrame, most: float) -> DataFrame:
 def block_by_token(entities: DataFrame, most: float = BLOCK) -> DataFrame:
     """entities(id, node_type, norm, norm_known) -> pairs (node_type, a, b, similarity) of norms, see alike_names."""
     met = alike_names(entities.select("node_type", "norm").distinct(), most)
-    return met.select("x.node_type", F.col("x.norm").alias("a"), F.col("y.norm").alias("b"), "similarity")
+    return met.select("x.node_type", F.least("x.norm", "y.norm").alias("a"), F.greatest("x.norm", "y.norm").alias("b"), "similarity")
 
 
 def scored_names(first: DataFrame, scores: DataFrame, most: float) -> DataFrame:
