@@ -15,8 +15,8 @@ LINK, MERGE, BLOCK = 0.85, 0.95, 0.6
 #: Similarities from which the most alike pairs are looked for.
 NEAR = (0.95, 0.8)
 #: Most tokens of a name that meets others by sets of tokens; most letters of one whose parts are looked up; letters of a mark of
-#: longer ones; bits of the table of names (64 a row); names of one mark that meet the others in a task.
-SETS, LETTERS, GRAM, BITS, CROWD = 8, 64, 3, 1 << 24, 500
+#: longer ones; bits of the table of names (64 a row); names of one mark that meet the others in a task; spellings of a form in a row.
+SETS, LETTERS, GRAM, BITS, CROWD, SPELLINGS = 8, 64, 3, 1 << 24, 500, 50
 #: Separators between tokens of a name.
 SEPARATORS = r"[\s\-_/]+"
 # Canonical names and their aliases.
@@ -121,7 +121,7 @@ def alike_tokens(names: DataFrame, most: float) -> DataFrame:
 
     each = sized.filter(F.col("n") > int(SETS * most)).select("node_type", "norm", "n", F.explode("ts").alias("mark"))
     rarity = each.groupBy("node_type", "mark").agg(F.count("*").alias("df"))
-    many = each.join(rarity, ["node_type", "mark"]).groupBy("node_type", "norm", "n").agg(F.array_sort(F.collect_list(F.struct("df", "mark"))).alias("ms"))
+    many = each.join(rarity, ["node_type", "mark"]).groupBy("node_type", "norm", "n").agg(F.array_sort(F.collect_set(F.struct("df", "mark"))).alias("ms"))
     many = many.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * most - 1e-9).cast("int"), F.floor(F.col("n") / most + 1e-9).cast("int")))).filter(F.greatest("n", "m") > SETS)
     common = F.ceil((F.col("n") + F.col("m")) * (most / (1 + most)) - 1e-9).cast("int")
     many = many.withColumn("k", F.col("n") - common + 1).filter("k > 0").select("node_type", "norm", "n", "m", F.explode(F.expr("slice(ms, 1, k)"))).select("node_type", "norm", "n", "m", F.col("col.mark").alias("mark"))
@@ -185,8 +185,8 @@ def contained(names: DataFrame, most: float) -> DataFrame:
 
 
 def alike_names(names: DataFrame, most: float) -> DataFrame:
-    """names(node_type, norm, ...), each norm of a type once -> (x, y, similarity): pairs of rows of one type, in either order,
-    with similarity from `most` on.
+    """names(node_type, norm, ...) -> (x, y, similarity): pairs of rows of one type and two norms, in either order, with
+    similarity from `most` on.
 
     Complete for this threshold without comparing all pairs, see alike_tokens and contained. Pairs grow faster than names, so
     no pair is shuffled that is found by its tokens, and few have their names split again.
@@ -198,7 +198,7 @@ def alike_names(names: DataFrame, most: float) -> DataFrame:
     inside = F.when(F.greatest(la, lb) == 0, 0.0).when(F.expr("contains(x.norm, y.norm) or contains(y.norm, x.norm)"), share).otherwise(0.0)
     met = met.select("x", "y", F.greatest("alike", inside).alias("similarity"))
     both, all_of = F.size(F.array_intersect(tokens("x.norm"), tokens("y.norm"))), F.size(tokens("x.norm")) + F.size(tokens("y.norm"))
-    rest = _rows_of(contained(names, most), names.drop("ts")).filter(both / (all_of - both) < most)
+    rest = _rows_of(contained(names.select("node_type", "norm").distinct(), most), names.drop("ts")).filter(both / (all_of - both) < most)
     return met.unionByName(rest.select("x", "y", share.alias("similarity")).filter(F.col("similarity") >= most))
 
 
@@ -239,6 +239,24 @@ def candidates(names: DataFrame, most: float = BLOCK, scores: DataFrame | None =
     return told(star).unionByName(told(between)).select("node_type", "a", "b", "similarity", "alias", *extra)
 
 
+def spelled(names: DataFrame, most: float = BLOCK) -> DataFrame:
+    """names(node_type, name, norm), each name once -> (node_type, a, b, similarity), a < b: all pairs of names whose forms are
+    one or alike, where candidates has those of the forms' first names.
+
+    The forms meet as in alike_names, and each takes its spellings along, in rows of SPELLINGS about."""
+    many = names.groupBy("node_type", "norm").agg(F.ceil(F.count("*") / SPELLINGS).cast("int").alias("parts")).filter("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"), F.lit(0))
+    rows = names.join(many, ["node_type", "norm"], "left").groupBy("node_type", "norm", part.alias("part")).agg(F.collect_list("name").alias("names"))
+    forms = cut(rows)
+    side = lambda x: forms.select("node_type", "norm", F.struct(*forms.columns).alias(x))
+    one = side("x").filter("size(x.names) > 1 or x.part > 0").join(side("y"), ["node_type", "norm"]).filter("x.part >= y.part").select("node_type", "x", "y", F.lit(1.0).alias("similarity"))
+    two = alike_names(forms, most).select("x.node_type", "x", "y", "similarity")
+    both = one.unionByName(two).withColumn("itself", F.expr("x.norm = y.norm and x.part = y.part"))
+    both = both.select("node_type", "similarity", "itself", F.col("y.names").alias("ys"), F.explode("x.names").alias("a")).select("node_type", "similarity", "itself", "a", F.explode("ys").alias("b"))
+    # a row of names that meets itself has each pair twice
+    return both.filter("a < b or not itself").select("node_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
 def best_scores(embedding: DataFrame) -> DataFrame:
     """embedding(a, b, score) in either order -> each pair once, a < b, with its best score."""
     return embedding.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
@@ -281,12 +299,12 @@ def q_pair_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_block(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate pairs of all names; er_candidates_sorted has the best of them."""
-    return candidates(_named(spark, d)).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
+    """All pairs of names that are alike; er_candidates_sorted has the best of those that candidates makes."""
+    return spelled(_named(spark, d)).select("node_type", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def q_candidates_sorted(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
-    """The first k of er_block. Few pairs are very alike, so those come first; where they are less than k, more are looked for."""
+    """The first k of candidates. Few pairs are very alike, so those come first; where they are less than k, more are looked for."""
     names = cut(_named(spark, d))
     order = [F.desc("similarity"), F.col("node_type"), F.col("a"), F.col("b")]
     for least in [*(x for x in NEAR if x > BLOCK), BLOCK]:
@@ -356,8 +374,9 @@ def _sim(a: str, b: str) -> str:
 
 _PAIRS = "WITH p AS (SELECT *, lower(trim(name_a, ' ')) AS a, lower(trim(name_b, ' ')) AS b FROM entity_pairs WHERE name_a IS NOT NULL AND name_b IS NOT NULL)"
 _NORM = r"lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
-_BLK = f"""WITH {_AL}, nm AS (SELECT DISTINCT t AS node_type, name FROM (SELECT {sql_label('type', NODE_TYPES)} AS t, name FROM entities UNION ALL SELECT {sql_label('node_type', NODE_TYPES)}, name FROM nodes) WHERE t IS NOT NULL AND name IS NOT NULL),
-nn AS (SELECT node_type, name, coalesce(canonical, {_NORM.format('name')}) AS norm, canonical IS NOT NULL AS known FROM nm LEFT JOIN al ON {_NORM.format('name')} = alias),
+_NAMES = f"""WITH {_AL}, nm AS (SELECT DISTINCT t AS node_type, name FROM (SELECT {sql_label('type', NODE_TYPES)} AS t, name FROM entities UNION ALL SELECT {sql_label('node_type', NODE_TYPES)}, name FROM nodes) WHERE t IS NOT NULL AND name IS NOT NULL),
+nn AS (SELECT node_type, name, coalesce(canonical, {_NORM.format('name')}) AS norm, canonical IS NOT NULL AS known FROM nm LEFT JOIN al ON {_NORM.format('name')} = alias)"""
+_BLK = f"""{_NAMES},
 fs AS MATERIALIZED (SELECT node_type, norm, min(name) AS name, any_value(known) AS known FROM nn GROUP BY 1, 2),
 st AS (SELECT nn.node_type, fs.name AS a, nn.name AS b, 1.0::double AS similarity, nn.known AS alias FROM nn JOIN fs USING (node_type, norm) WHERE nn.name <> fs.name),
 bl AS (SELECT x.node_type, least(x.name, y.name) AS a, greatest(x.name, y.name) AS b, {_sim('x.norm', 'y.norm')} AS similarity, false AS alias FROM fs x JOIN fs y ON x.node_type = y.node_type AND x.norm < y.norm),
@@ -381,7 +400,7 @@ SQL = {
     "normalize_name": f"WITH {_AL} SELECT entity_id, coalesce(canonical, {_NORM.format('name')}) AS norm, canonical IS NOT NULL AS known FROM entities LEFT JOIN al ON {_NORM.format('name')} = alias WHERE name IS NOT NULL",
     "string_similarity": _PAIRS + f" SELECT pair_id, round({_sim('a', 'b')}, 6) AS similarity FROM p",
     "pair_confidence": _PAIRS + f" SELECT pair_id, round((({_sim('a', 'b')})::double * (CASE WHEN confidence IS NOT NULL THEN 0.5 ELSE 0.7 END)::double + (a = b)::int * 0.2::double + coalesce(confidence, 0.0) * (CASE WHEN confidence IS NOT NULL THEN 0.3 ELSE 0.0 END)::double) / ((CASE WHEN confidence IS NOT NULL THEN 0.5 ELSE 0.7 END) + 0.2 + (CASE WHEN confidence IS NOT NULL THEN 0.3 ELSE 0.0 END))::double, 6) AS confidence FROM p",
-    "er_block": _BLK + " SELECT node_type, a, b, round(similarity, 6) AS similarity FROM bk",
+    "er_block": _NAMES + f" SELECT x.node_type, x.name AS a, y.name AS b, round({_sim('x.norm', 'y.norm')}, 6) AS similarity FROM nn x JOIN nn y ON x.node_type = y.node_type AND x.name < y.name WHERE {_sim('x.norm', 'y.norm')} >= {BLOCK}",
     "er_candidates_sorted": _BLK + " SELECT node_type, a, b, round(similarity, 6) AS similarity FROM bk ORDER BY 4 DESC, node_type, a, b LIMIT 100",
     "resolve_entities": _BLK + " SELECT * FROM rs",
     "er_duplicate_rate": _BLK + ", tt AS (SELECT node_type, count(*) AS names FROM nn GROUP BY 1), ff AS (SELECT node_type, count(*) FILTER (decision = 'link') AS links, count(*) FILTER (decision = 'merge') AS merges FROM rs GROUP BY 1) SELECT node_type, names, coalesce(links, 0) AS links, coalesce(merges, 0) AS merges, round((coalesce(links, 0) + coalesce(merges, 0)) / names, 6) AS rate FROM tt LEFT JOIN ff USING (node_type)",

@@ -105,3 +105,17 @@ def test_alike_names_carry_no_token_sets(spark):
     got = resolve_module.alike_names(names, 0.6)
     assert got.schema["x"].dataType.names == got.schema["y"].dataType.names == names.columns
     assert sorted((*sorted((r.x.id, r.y.id)), round(r.similarity, 6)) for r in got.collect()) == [("D", "E", round(16 / 17, 6)), ("D", "F", 1.0), ("E", "F", 0.6)]
+
+
+@pytest.mark.parametrize("together", [2, 50])
+def test_all_spellings_are_blocked(spark, tmp_path, monkeypatch, together):
+    monkeypatch.setattr(resolve_module, "SPELLINGS", together)
+    spellings = ["Deep Net", "deep net", "DEEP NET ", "deep NET", "deep nets", "Deep Nets", "a b c d e f g h i", "A b c d e f g h i", "a b c d e f g h j", "A b c d e f g h j", "GRU", "gru", "gated recurrent unit"]
+    rows = [(i, t, x) for i, x in enumerate(spellings) for t in ("Technique", "Problem") if t == "Technique" or i % 2]
+    spark.createDataFrame(rows, "entity_id long, type string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([], "node_id string, node_type string, name string").write.parquet(f"{tmp_path}/nodes.parquet")
+    norm = lambda x: {"gated recurrent unit": "gru"}.get(x.strip().lower(), x.strip().lower())
+    want = {(t, a, b) for _, t, a in rows for _, u, b in rows if t == u and a < b and (norm(a) == norm(b) or similar(norm(a), norm(b)) >= 0.6)}
+    got = registry.queries()["er_block"](spark, str(tmp_path)).collect()
+    assert sorted((r.node_type, r.a, r.b) for r in got) == sorted(want)
+    assert {r.similarity for r in got if norm(r.a) == norm(r.b)} == {1.0} and ("Technique", "Deep Net", "deep net") in want
